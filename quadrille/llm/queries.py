@@ -38,6 +38,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(format_conversations(rows.unionByName(extra)))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quadrille.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
@@ -50,7 +58,7 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op6_chat_format)}
+    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format)}
     return out
 
 
