@@ -46,6 +46,20 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.media import media_digests
+
+    return media_digests(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.toxicity import held_out, score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    out = score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst_start", "worst_end")
+
+
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
@@ -58,7 +72,7 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format)}
+    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity)}
     return out
 
 
