@@ -60,6 +60,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst_start", "worst_end")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.ngram_join import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
@@ -72,7 +78,7 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity)}
+    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join)}
     return out
 
 
