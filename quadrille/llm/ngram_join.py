@@ -61,7 +61,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary()), pa.array(range(size), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
-def _sum_segments(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_segments(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SEGMENT, dtype=np.uint64)
     for batch in batches:
         for part in batch.column("counts"):
@@ -175,7 +175,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([whole[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "blob"])
 
-    def shared_tokens(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared_tokens(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.frombuffer(b"".join(x.as_py() for b in batches for x in b.column("blob")), dtype=POSTING)
         token = whole["token"]
         order = np.argsort(token, kind="stable")
