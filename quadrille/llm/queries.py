@@ -66,6 +66,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM docs),
@@ -78,7 +84,7 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join)}
+    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join, op10_decontaminate)}
     return out
 
 
