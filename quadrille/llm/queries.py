@@ -23,6 +23,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.sharding import interleave
 
@@ -84,7 +90,7 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join, op10_decontaminate)}
+    out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op3_license_scan, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join, op10_decontaminate)}
     return out
 
 
