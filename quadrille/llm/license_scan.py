@@ -7,8 +7,8 @@ aligned share of the template is its coverage, and the aligned words give the sp
 
 Only documents that hold one of a template's marker words are aligned, and a long text is aligned in overlapping
 stretches around them: a stretch spans the template's length on both sides of a marker, and stretches that meet are
-one, so whole texts are searched. Every template has a marker in every copy that covers enough of it, as the marker
-is a word that the license can't be named without.
+one, so whole texts are searched. A marker is a word that names the license or is peculiar to it (each template gives
+its own); a copy that lacks or misspells its marker is not reported.
 
 Defined cases: null and empty texts have no license; repeated rows are reported each; one row a document and license;
 texts with several copies report the best; extra columns are not read; an empty table gives none.
