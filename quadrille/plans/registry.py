@@ -124,3 +124,95 @@ def csv_quote(spark, sf_dir):
 @query("""SELECT o_orderkey, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS serial FROM orders""")
 def serial_from_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("long").alias("serial"))
+
+
+def _compiled(df: DataFrame, formula: str):
+    from quadrille.functions.formula import bind, compile_formula
+
+    return compile_formula(formula, bind(df))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * (1 - l_discount) AS value FROM lineitem""")
+def formula_fill_down(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", "l_extendedprice", _compiled(t, "=F2*(1-G2)").col.alias("value"))
+
+
+@query("""SELECT p_partkey, p_retailprice / 100 AS share, CASE WHEN p_size < 0 THEN NULL ELSE pow(p_size, 2) END AS power FROM part""")
+def formula_power_percent(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    return t.select("p_partkey", _compiled(t, "=F2%").col.alias("share"), _compiled(t, "=E2^2").col.alias("power"))
+
+
+@query("""SELECT n_nationkey, lower(n_name) > 'f' AS later, TRUE AS text_over_number FROM nation""")
+def formula_compare_mixed(spark, sf_dir):
+    t = table(spark, sf_dir, "nation")
+    return t.select("n_nationkey", _compiled(t, '=B2>"F"').col.alias("later"), _compiled(t, "=B2>A2").col.alias("text_over_number"))
+
+
+@query("""SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(COUNT(l_quantity) AS DOUBLE) AS n,
+ CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l_quantity) AS average, MIN(l_quantity) AS least, MAX(l_quantity) AS most FROM lineitem GROUP BY 1""")
+def formula_aggregates(spark, sf_dir):
+    from quadrille.functions.formula import aggregate
+
+    q = F.col("l_quantity")
+    parts = {k: aggregate(f, q)[0] for k, f in (("n", "COUNT"), ("least", "MIN"), ("most", "MAX"))}
+    total = _exact_sum(q)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(total.alias("total"), (total / F.count(q)).alias("average"), *[c.alias(k) for k, c in parts.items()])
+
+
+@query("""SELECT o_orderkey, o_totalprice, SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW)::DOUBLE AS near FROM orders""")
+def formula_range_window(spark, sf_dir):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(-1000, 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w).cast("double").alias("near"))
+
+
+@query("""SELECT p_partkey, (p_retailprice - MIN(p_retailprice) OVER ()) / (MAX(p_retailprice) OVER () - MIN(p_retailprice) OVER ()) AS bar FROM part""")
+def rule_data_bar(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    ends = t.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()  # one row
+    lo, hi = ends
+    return t.select("p_partkey", ((F.col("p_retailprice") - F.lit(lo)) / F.lit((hi or 0) - (lo or 0))).alias("bar"))
+
+
+@query("""SELECT c_custkey, c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) FROM customer) AS above FROM customer""")
+def rule_above_average(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    total, n = t.agg(_exact_sum(F.col("c_acctbal")), F.count("c_acctbal")).first()  # one row
+    return t.select("c_custkey", (F.col("c_acctbal") > F.lit(total / n if n else None)).alias("above"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 0 AND 1000000 AS valid FROM orders""")
+def validation_check(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_totalprice").between(0, 1000000)).alias("valid"))
+
+
+@query("""SELECT coalesce(o.o_orderkey, e.k) AS o_orderkey, coalesce(e.v, o.o_totalprice) AS o_totalprice FROM orders o FULL JOIN
+ (SELECT o_orderkey * 2 AS k, CAST(0 AS DOUBLE) AS v FROM orders WHERE o_orderkey % 7 = 0) e ON o.o_orderkey = e.k""")
+def upsert_cells(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    e = o.filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") * 2).alias("k"), F.lit(0.0).alias("v"))
+    return o.join(e, o.o_orderkey == e.k, "full").select(F.coalesce("o_orderkey", "k").alias("o_orderkey"), F.coalesce("v", "o_totalprice").alias("o_totalprice"))
+
+
+@query("""SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 25 AS k, r_name AS name FROM region""")
+def append_rows(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return n.unionByName(table(spark, sf_dir, "region").select((F.col("r_regionkey") + 25).alias("k"), F.col("r_name").alias("name")))
+
+
+@query("""SELECT n_nationkey AS row, 0 AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_nationkey, 1, n_name FROM nation UNION ALL SELECT n_nationkey, 2, CAST(n_regionkey AS VARCHAR) FROM nation""")
+def sheet_cells_long(spark, sf_dir):
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS row", "stack(3, 0, CAST(n_nationkey AS STRING), 1, n_name, 2, CAST(n_regionkey AS STRING)) AS (col, value)")
+
+
+@query("""SELECT source, COUNT(*) FILTER (WHERE text IS NOT NULL AND text <> '') AS filled, COUNT(*) AS cells FROM documents GROUP BY 1""")
+def cell_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("filled"), F.count(F.lit(1)).alias("cells"))
+
+
+@query("""SELECT event_id, CASE WHEN regexp_full_match(event_type, '-?(0|[1-9][0-9]*)') THEN TRY_CAST(event_type AS DOUBLE) END AS typed FROM events""")
+def csv_field_typing(spark, sf_dir):
+    from quadrille.functions.csv_text import typed_number
+
+    return table(spark, sf_dir, "events").select("event_id", typed_number(F.col("event_type")).alias("typed"))
