@@ -89,10 +89,51 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 """
 
 
+def _op1_sql() -> str:
+    from quadrille.llm.url_reputation import RULES, WIDE_SUFFIXES
+
+    wide = r"(?:^|\.)(" + "|".join(x.replace(".", r"\.") for x in WIDE_SUFFIXES) + ")$"
+    rules = sorted(RULES, key=lambda x: -len(x[1]))
+
+    def fits(text: str) -> str:
+        host, slash, rest = text.partition("/")
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash + rest}')"
+
+    rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in rules)
+    said = " ".join(f"WHEN {fits(t)} THEN '{v}'" for v, t in rules)
+
+    def weight(units: str, prior: str) -> str:
+        mq = f"{prior} * (1 - {prior})"
+        s, a, b = f"sum(n * pow(g / n - {prior}, 2))", f"sum({mq})", f"sum({mq} * (n - 1))"
+        return f"SELECT CASE WHEN r > 0 THEN least(greatest(1 / r - 1, 2.0), 200.0) ELSE 200.0 END AS k FROM (SELECT coalesce(({s} - {a}) / nullif({b}, 0), 0) AS r FROM {units} WHERE n > 0)"
+
+    return f"""
+WITH cut AS (SELECT page_id, html, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+judged AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  CAST((length(html) - length(regexp_replace(html, '[%*#$&@~^|]{{3}}|!!', '', 'g'))) / CAST(greatest(length(html), 1) AS DOUBLE) < 0.01 AS INT) AS good FROM cut),
+h0 AS (SELECT host, CAST(count(good) AS DOUBLE) AS n, CAST(coalesce(sum(good), 0) AS DOUBLE) AS g, regexp_replace(host, ':[0-9]*$', '') AS bare FROM judged GROUP BY host),
+h1 AS (SELECT *, CASE WHEN regexp_matches(bare, '{wide}') THEN regexp_extract(bare, '{wide}', 1) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix FROM h0),
+h2 AS (SELECT *, regexp_extract(substr(bare, 1, greatest(length(bare) - length(suffix) - 1, 0)), '[^.]*$', 0) AS label FROM h1),
+hosts AS (SELECT *, CASE WHEN label <> '' THEN label || '.' || suffix ELSE suffix END AS domain FROM h2),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(g) AS g FROM hosts GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d0 GROUP BY ALL),
+s1 AS (SELECT *, (SELECT (sum(g) + 1) / (sum(n) + 2) FROM s0) AS m0 FROM s0),
+s2 AS (SELECT suffix, (g + k * m0) / (n + k) AS m1 FROM s1, ({weight("s1", "m0")})),
+d1 AS (SELECT * FROM d0 JOIN s2 USING (suffix)),
+d2 AS (SELECT suffix, domain, (g + k * m1) / (n + k) AS m2 FROM d1, ({weight("d1", "m1")})),
+h3 AS (SELECT * FROM hosts JOIN d2 USING (suffix, domain)),
+h4 AS (SELECT host, n + k + 1 AS w, (g + k * m2) / (n + k) AS m FROM h3, ({weight("h3", "m2")}))
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  coalesce(CASE {said} END, CASE WHEN m - 1.64 * sqrt(m * (1 - m) / w) >= 0.6 THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged JOIN h4 USING (host)
+"""
+
+
 def queries() -> dict:
     out = {f.__name__: f for f in (op1_url_reputation, op2_line_dedup, op3_license_scan, op4_sharding, op5_bpe, op6_chat_format, op7_media, op8_toxicity, op9_ngram_join, op10_decontaminate)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op1_url_reputation": _op1_sql(), "op2_line_dedup": OP2_SQL}
