@@ -5,11 +5,15 @@ is 0.75 or more. Shingles have one global order, from rare to frequent, by a cou
 collisions change the order, never the result). If two sets are that similar, the first
 |x| - ceil(0.75 |x|) + l shingles of each share at least l, for any l. Each document takes the l from 1 to 4 that
 costs least: a longer prefix is more to ship, but candidates must share more of it; the cost of candidates comes from
-the sketch. Pairs that share as many prefix shingles as the smaller of their two l are verified on their whole texts.
+the sketch. Pairs that share at least so many prefix shingles as the l of either asks for are verified on their whole texts.
 
-Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs: first each
-node is verified against one pivot of a shared shingle, and what links is one component; then only pairs between
-components are made and verified, so no link between components is lost. Components are found by large-star and
+Of a pair, the smaller set can do with a shorter prefix, |x| - ceil(6/7 |x|) + l, and the sizes tell more exactly how many
+shared prefix shingles a similar pair has at least; so unlike sets of one frequent passage seldom become candidates.
+
+Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs: in a few rounds
+each node is verified against one pivot of a shared shingle (first the middles of families, sets of frequent shingles,
+then drawn ones), and what links is one component; then only pairs between components are made and verified, so no link
+between components is lost. Components are found by large-star and
 small-star rounds over the edge table, cut by written tables. Nothing of the corpus but the sketch (4 MB) and counts
 goes to the driver.
 
@@ -34,7 +38,8 @@ from quadrille.llm.common import materialise, mix, shingle_hashes, word_hashes
 BITS, SEGMENT = 20, 1024
 BROADCAST_NODES = 500_000
 MOST_MATCHES = 4
-POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("l", "<i4")])
+ROUNDS = 2
+POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("l", "i1"), ("hub", "<u2"), ("pos", "<i4"), ("part", "<u2")])
 _PLACE = np.uint64(64 - BITS)
 
 
@@ -70,8 +75,9 @@ def _sum_segments(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch])
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([capped.tobytes()], pa.binary())], names=["segment", "counts"])
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, load: float) -> tuple[np.ndarray, int]:
-    """The prefix of a set, and how many of it a partner must share."""
+def prefix(s: np.ndarray, sketch: np.ndarray, load: float) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, in order; its l; and a score of how frequent the set's shingles are, high for the middle of a
+    family of near copies."""
     n = len(s)
     freq = sketch[(s >> _PLACE).astype(np.int64)].astype(np.float64)
     order = np.lexsort((s, freq))
@@ -83,7 +89,8 @@ def prefix(s: np.ndarray, sketch: np.ndarray, load: float) -> tuple[np.ndarray,
         cost = end + 4.0 * extra[end - 1] / k
         if least is None or cost < least:
             best, least = k, cost
-    return s[order[: min(base + best, n)]], best
+    hub = int(min(np.log1p(np.maximum(freq - load, 0.0)).mean() * 4000, 65535)) if n else 0
+    return s[order[: min(base + best, n)]], best, hub
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,9 +170,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((key,))
-                head, match = prefix(s, table, load)
+                head, match, hub = prefix(s, table, load)
                 p = np.empty(len(head), dtype=POSTING)
-                p["token"], p["node"], p["n"], p["l"] = head, i, len(s), match
+                p["token"], p["node"], p["n"], p["l"], p["hub"], p["pos"], p["part"] = head, i, len(s), match, hub, np.arange(len(head)), int.from_bytes(key[:2], "little")
                 made.append(p)
             if made:
                 whole = np.concatenate(made)
@@ -184,40 +191,67 @@ def near_groups(docs: DataFrame) -> DataFrame:
         keep = order[np.append(again, False) | np.insert(again, 0, False)] if len(token) else order
         for at in range(0, len(keep), 200_000):
             x = whole[keep[at : at + 200_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(x["token"].astype(np.int64)), pa.array(x["node"]), pa.array(x["n"]), pa.array(x["l"])], names=["token", "id", "n", "l"])
+            cols = [x["token"].view("<u8").astype(np.int64), x["node"], x["n"], *(x[k].astype(np.int32) for k in ("l", "hub", "pos", "part"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=["token", "id", "n", "l", "hub", "pos", "part"])
 
     blobs = docs.select("doc_id", "text").mapInArrow(postings, "bucket int, blob binary")
-    found = blobs.groupBy("bucket").applyInArrow(shared_tokens, "token long, id long, n int, l int")
+    found = blobs.groupBy("bucket").applyInArrow(shared_tokens, "token long, id long, n int, l int, hub int, pos int, part int")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     known = materialise(rows.join(classes, "key", "left").withColumn("node", F.coalesce("node", "doc_id")).select("doc_id", "n", "node"), "nodes")
     copies = known.filter("node <> doc_id").select(F.col("doc_id").alias("id"), "node")
     found = materialise(found, "shared-shingles")
-    found = found.join(copies, "id", "left").select("token", F.coalesce("node", "id").alias("node"), "n", "l").distinct()
+    found = found.join(copies, "id", "left").select("token", F.coalesce("node", "id").alias("node"), "n", "l", "hub", "pos", "part").distinct()
     found = materialise(found, "postings")
 
-    links = None
-    comp = None
-    for k, pick in enumerate((F.min, F.max)):
-        labelled = found.withColumn("comp", F.col("node")) if comp is None else _labelled(found, comp)
-        tops = labelled.groupBy("token").agg(pick(F.struct("node", "n", "comp")).alias("t"))
-        star = labelled.join(tops, "token").filter("node <> t.node and comp <> t.comp and 4 * least(n, t.n) >= 3 * greatest(n, t.n)")
-        star = star.groupBy(F.col("t.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    links = comp = None
+    labelled = found.withColumn("comp", F.col("node"))
+    for k in range(ROUNDS):
+        # the first round's pivots are the middles of families, the next ones' are drawn
+        rank = F.struct("hub", -F.col("node")) if k == 0 else F.xxhash64("node", F.lit(k))
+        tops = labelled.groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "comp", "pos", "part"), rank).alias("t"))
+        star = _enough(labelled.join(tops, "token"), "t.", "")
         best = star.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-        got = verify_pairs(docs, materialise(best, "star"), "star")
+        best = materialise(best, f"star{k}")
+        if k and best.isEmpty():
+            break
+        got = verify_pairs(docs, best, f"star{k}")
         links = got if links is None else links.union(got)
         comp = materialise(components(links), "components")
-    labelled = _labelled(found, comp)
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    labelled = materialise(labelled.join(mixed, "token", "left_semi"), "mixed")
-    a, b = labelled.alias("a"), labelled.alias("b")
-    pairs = a.join(b, "token").filter("a.node < b.node and a.comp <> b.comp and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)")
-    pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("a.l", "b.l")).alias("l"))
-    pairs = materialise(pairs.filter("c >= l").select("a", "b"), "pairs")
+        labelled = _labelled(found, comp)
+        # tokens of one component can link nothing new; main is the component with the most nodes of a token
+        sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+        labelled = materialise(labelled.join(sizes.filter("comps > 1").select("token", "main"), "token"), "mixed")
+    a, b = labelled.filter("comp <> main").alias("a"), labelled.alias("b")
+    pairs = _enough(a.join(b, "token").filter("b.comp = b.main or a.node < b.node"), "a.", "b.", unordered=True)
+    pairs = materialise(pairs.select("a", "b"), "pairs")
     links = links.union(verify_pairs(docs, pairs, "cross"))
     comp = materialise(components(links), "components")
     out = known.join(comp, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
+def _enough(joined: DataFrame, x: str, y: str, unordered: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that share enough prefix tokens (c) to be similar.
+
+    The smaller set takes part with its short prefix, of n - ceil(6n/7) + l tokens, the larger one with
+    n - ceil(3n/4) + l. Beyond the prefix that ends first, a pair shares at most the rest of that set, so of the
+    ceil(3(n + m)/7) tokens that a similar pair must share, all but the larger rest lie in both prefixes. Where the
+    places of a shared token are far apart, too few tokens can be shared before and after it. part tells apart the texts
+    that share a doc_id."""
+    x_small = f"({x}n < {y}n or ({x}n = {y}n and {x}node < {y}node))"
+    rest = [f"(if({is_small}, (6 * {p}n + 6) div 7, (3 * {p}n + 3) div 4) - {p}l)" for p, is_small in ((x, x_small), (y, f"not {x_small}"))]
+    short = [f"{p}pos < {p}n - (6 * {p}n + 6) div 7 + {p}l" for p in (x, y)]
+    least, after = f"(3 * ({x}n + {y}n) + 6) div 7", f"least({x}n - {x}pos, {y}n - {y}pos)"
+    fit = joined.filter(
+        f"{x}comp <> {y}comp and 4 * least({x}n, {y}n) >= 3 * greatest({x}n, {y}n) and if({x_small}, {short[0]}, {short[1]}) and least({x}pos, {y}pos) + {after} >= {least}"
+    )
+    one, two = F.expr(f"{x}node"), F.expr(f"{y}node")
+    if unordered:
+        one, two = F.least(one, two), F.greatest(one, two)
+    keys = [F.expr(f"least({x}part, {y}part)").alias("p"), F.expr(f"greatest({x}part, {y}part)").alias("q")]
+    counted = fit.groupBy(one.alias("a"), two.alias("b"), *keys).agg(F.count(F.lit(1)).alias("c"), F.expr(f"min({after})").alias("after"), F.expr(f"min({least})").alias("least"), F.expr(f"max(greatest(0, {rest[0]}, {rest[1]}))").alias("rest"))
+    return counted.filter("c >= least - rest and c + after - 1 >= least").groupBy("a", "b").agg(F.max("c").alias("c"))
+
+
 def _labelled(found: DataFrame, comp: DataFrame) -> DataFrame:
     return found.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
