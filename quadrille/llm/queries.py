@@ -89,6 +89,22 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 """
 
 
+OP6_SQL = r"""
+WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+t AS (SELECT conv_id, coalesce(c.role, '') AS who, coalesce(c.text, '') AS said,
+  row_number() OVER (PARTITION BY conv_id ORDER BY c.turn NULLS FIRST, c.role NULLS FIRST, c.text NULLS FIRST) AS pos FROM c),
+w AS (SELECT *, length('### : </turn> ') + 1 + length(regexp_replace(who, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(said, '(\\|###|</turn>)', '\\\1', 'g')) AS n FROM t),
+e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, pos = count(*) OVER (PARTITION BY conv_id) AS ends FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(who || chr(10) || said || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(said)) FILTER (WHERE who = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(said, '' ORDER BY pos) FILTER (WHERE who = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (WHERE who = 'assistant' OR ends) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (WHERE who = 'assistant' OR ends) AS n_examples
+FROM e GROUP BY conv_id
+"""
+
+
 def _op1_sql() -> str:
     from quadrille.llm.url_reputation import RULES, WIDE_SUFFIXES
 
@@ -136,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _op1_sql(), "op2_line_dedup": OP2_SQL}
+    return {"op1_url_reputation": _op1_sql(), "op2_line_dedup": OP2_SQL, "op6_chat_format": OP6_SQL}
