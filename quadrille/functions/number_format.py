@@ -9,6 +9,7 @@ import re
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,7 +123,6 @@ def format_column(number: Column, code: str) -> Column:
     if m:
         places = len(m[1] or "")
         return F.coalesce(F.format_number(F.round(number.cast("decimal(30,15)"), places), places), F.lit(""))
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:

@@ -1 +1,3 @@
+"""Query plans over the tables: importing the package registers all of them."""
 
+from quadrille.plans import registry, sheets  # noqa: F401
