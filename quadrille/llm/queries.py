@@ -89,6 +89,19 @@ FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id
 """
 
 
+#: DuckDB has no CRC-32: its table of 256 comes from the polynomial, and the bytes of each text are folded over it.
+OP4_SQL = r"""
+WITH crc AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, [0::BIGINT FOR x IN range(8)]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM (SELECT unnest(range(256)) AS k))),
+d AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS m FROM documents),
+b AS (SELECT doc_id, source, m, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+  xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, [CAST(strpos('0123456789ABCDEF', y[1]) * 16 + strpos('0123456789ABCDEF', y[2]) - 17 AS BIGINT) FOR y IN regexp_extract_all(h, '..')]),
+    lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1]))) AS text_crc32 FROM d, crc),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY m, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS f FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, m, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 16 // n AS INT) AS shard, CAST(pos - (pos * 16 // n * n + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+
 OP6_SQL = r"""
 WITH c AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
@@ -152,4 +165,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_reputation": _op1_sql(), "op2_line_dedup": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op1_url_reputation": _op1_sql(), "op2_line_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op6_chat_format": OP6_SQL}
