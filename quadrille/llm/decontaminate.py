@@ -1,13 +1,13 @@
 """Benchmark decontamination: latent semantic retrieval.
 
 Documents are cut into windows of 64 words, every 32. Terms are the rarer words of the benchmark items, weighted by
-their inverse passage frequency over the whole corpus. Windows with several such terms (others have next to no weight
-on them) are rows of a TF-IDF matrix, together with the items. A randomised SVD, computed as the sum of A'(A Q) over
+their inverse passage frequency over the whole corpus. Windows with such terms are rows of a TF-IDF matrix, together with the items. A randomised SVD, computed as the sum of A'(A Q) over
 the partitions and its Nystrom form, gives the latent space; windows whose cosine with an item there reaches ``cosine`` are candidates. A
 candidate is a leak if the longest common subsequence of the item's words and the window (with 32 words around it)
-covers ``lcs`` of the item, enough of the item's rare terms, and half of its answer, the item's last words; so
-changed, missing and inserted words are tolerated. Windows whose surroundings lack the rare terms of every item are part
-of the SVD, but their words are not stored, as they cannot pass.
+covers ``lcs`` of the item and half of its answer, the item's last words; so changed, missing and inserted words are
+tolerated. A copy that covers ``lcs`` lacks a known number of the item's words at most, so of the rarer half of them
+(and one more than it may lack) it keeps a least number. Windows whose surroundings hold fewer for every item are part
+of the SVD, but their words are not stored, as they cannot pass; this bound loses no leak.
 
 Items longer than 48 words are searched by pieces. The items are held by every task, in blocks of ``block`` items;
 of the corpus only counts by term, sums by term and latent axis, and leaks are moved. Defined cases: null and empty
@@ -17,6 +17,7 @@ rows are one report; extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,25 +137,32 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str], cosine: float, lc
     keep = np.array(sorted(chosen))
     vocab, idf = terms[keep], np.log1p(passages / (1.0 + df[keep])).astype(np.float32)
     bags = [[int(x) for x in _find(vocab, w) if x >= 0] for *_, w in pieces]
-    rare_terms = [sorted({int(vocab[x]) for x in bag}) for bag in bags]
-    gate = min(4, *(max(1, (len(set(b)) + 1) // 2) for b in bags)) if bags else 1
-
-    # the pieces of each term, one term after the other
-    term_piece = np.array(sorted({(t, j) for j, bag in enumerate(bags) for t in bag}), dtype=np.int64).reshape(-1, 2)
-    holders, many = term_piece[:, 1], np.bincount(term_piece[:, 0], minlength=len(vocab))
+    in_vocab = np.full(len(terms) + 1, -1)
+    in_vocab[keep] = np.arange(len(keep))
+
+    # the rarer words of each piece, of which a copy may lack `lost` and so keeps `enough`; by term, a piece as often as it has it
+    term_piece, enough = [], np.zeros(len(pieces), dtype=np.int64)
+    for j, (*_, w) in enumerate(pieces):
+        lost = len(w) - math.ceil(lcs * len(w) - 1e-9)
+        t = _find(terms, w)
+        t = t[np.argsort(df[t], kind="stable")][: max(lost + 1, (len(w) + 1) // 2)]
+        term_piece += [(x, j) for x in t.tolist()]
+        enough[j] = len(t) - lost
+    of_term, holders = np.array(sorted(term_piece), dtype=np.int64).T
+    many = np.bincount(of_term, minlength=len(terms))
     first = np.cumsum(many) - many
-    enough = 0.6 * np.bincount(holders, minlength=len(pieces))
+    rarer = np.append(many > 0, False)
 
     def near_an_item(bags: list[np.ndarray]) -> list[bool]:
-        """Whether each bag has enough rare terms of any piece."""
-        row, term = np.divmod(np.unique(np.repeat(np.arange(len(bags)) * len(vocab), [len(x) for x in bags]) + np.concatenate(bags)), len(vocab))
+        """Whether each bag has enough of the rarer words of any piece."""
+        row, term = np.divmod(np.unique(np.repeat(np.arange(len(bags)) * len(terms), [len(x) for x in bags]) + np.concatenate(bags)), len(terms))
         n = many[term]
         at = np.arange(n.sum()) + np.repeat(first[term] - np.cumsum(n) + n, n)
         held = np.bincount(np.repeat(row, n) * len(pieces) + holders[at], minlength=len(bags) * len(pieces)).reshape(len(bags), -1)
         return (held >= enough).any(axis=1).tolist()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bag of each window with enough terms; its words too if they hold enough rare terms of any item."""
+        """The bag of each window with terms; its words too if they hold enough of the rarer words of any item."""
         for batch in batches:
             who: list[int | None] = []
             near: list[np.ndarray] = []
@@ -164,16 +172,18 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str], cosine: float, lc
                 w = _words(text.as_py())
                 if not len(w):
                     continue
-                t = _find(vocab, w)
-                k = np.flatnonzero(t >= 0)
-                t = t[k]
+                all_terms = _find(terms, w)
+                t = in_vocab[all_terms]
+                k, k2 = np.flatnonzero(t >= 0), np.flatnonzero(rarer[all_terms])
+                t, t2 = t[k], all_terms[k2]
                 s = np.arange(0, max(1, len(w) - WINDOW + STRIDE), STRIDE)
-                a, b, a2, b2 = np.searchsorted(k, np.concatenate([s, s + WINDOW, s - STRIDE, s + WINDOW + STRIDE])).reshape(4, -1).tolist()
+                a, b = np.searchsorted(k, np.concatenate([s, s + WINDOW])).reshape(2, -1).tolist()
+                a2, b2 = np.searchsorted(k2, np.concatenate([s - STRIDE, s + WINDOW + STRIDE])).reshape(2, -1).tolist()
                 for x in range(len(s)):
-                    if b[x] - a[x] >= gate and len(set(t[a[x] : b[x]].tolist())) >= gate:
+                    if b[x] > a[x]:
                         who.append(i)
                         near.append(t[a[x] : b[x]])
-                        wide.append(t[a2[x] : b2[x]])
+                        wide.append(t2[a2[x] : b2[x]])
                         words.append((w, int(s[x])))
             for at in range(0, len(who), 2000):
                 full = near_an_item(wide[at : at + 2000])
@@ -226,7 +236,7 @@ def _search(docs: DataFrame, ids: list[int], texts: list[str], cosine: float, lc
                 for k, j in zip(*np.nonzero(near >= cosine)):
                     words, item = np.frombuffer(text[at + int(k)].as_py(), dtype=np.uint64).tolist(), wanted[j]
                     seen = set(words)
-                    if sum(x in seen for x in rare_terms[j]) < 0.6 * len(rare_terms[j]):
+                    if sum(x in seen for x in item) / len(item) < lcs:  # no less than the subsequence's share
                         continue
                     share = lcs_length(item, words) / len(item)
                     tail = item[-max(3, len(item) // 5) :]

@@ -165,3 +165,17 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"w7x{j}" for j in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert kept == {k for k in range(60) if k % 5 and k != 7} | {61}
+
+
+def test_decontamination_paraphrase(spark):
+    """A copy that keeps three quarters of the words, but few of the rare ones."""
+    from quadrille.llm.decontaminate import find_leaks
+
+    common = [f"c{k}" for k in range(60)]
+    docs = [(k, " ".join(common[(k * 7 + j * (1 + k % 5)) % 60] for j in range(200))) for k in range(100)]
+    item = [w for k in range(13) for w in (f"rare{k}", common[k])] + ["end", "c59"]  # 28 words
+    changed = [f"other{k}" if k < 14 and k % 2 == 0 else w for k, w in enumerate(item)]  # 7 rare ones
+    again = [f"more{k}" if k < 16 and k % 2 == 0 else w for k, w in enumerate(item)]  # 8: too many
+    rows = docs + [(k, " ".join(common[20:50] + copy + common[15:45])) for k, copy in ((200, item), (201, changed), (202, again))]
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.lcs) for r in found) == [(200, 1.0), (201, 0.75)]
