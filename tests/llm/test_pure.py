@@ -115,3 +115,13 @@ def test_noisy_or():
     assert m.score(None)[0] == m.score("")[0] == toxicity.LEAK
     s, a, b = m.score("Fine day. You scum! Bye.")
     assert s > 0.9 and "scum" in "Fine day. You scum! Bye."[a:b]
+
+
+def test_licenses_side_by_side_or_without_marker():
+    near = "w " * 30 + "Released under the MIT License. Released under the MIT License. " + "w " * 30
+    assert license_scan.scan_text(near) == [("MIT", 1.0, 60, 91 - 1, 5, 5)]
+    grant = next(body for name, _, body in license_scan.TEMPLATES if name == "MIT-grant")
+    for text in (grant.replace("sublicense, ", ""), grant.replace("sublicense", "sublicence")):
+        assert [x[0] for x in license_scan.scan_text("w " * 30 + text + " w" * 30)] == ["MIT-grant"]
+    assert [x[0] for x in license_scan.scan_text("Licensed under the Apahce License, Version 2.0.")] == ["Apache-2.0"]
+    assert license_scan.scan_text("Released under the BSD License.") == [] == license_scan.scan_text("Licensed under CC BY 4.0.")
