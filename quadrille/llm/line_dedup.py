@@ -2,12 +2,13 @@
 
 Lines are split at \\n; a line's key is the line stripped of [\\x20\\x09-\\x0D] with A-Z lower-cased. The keys of each
 document are made distinct, hashed to 128 bits and counted with map-side combining; frequent keys are those of
-``min_docs`` documents or more. Documents then learn which of their own keys are frequent and rebuild their text by
+``min_docs`` distinct doc_ids or more: the few keys of as many rows are looked up, and their documents made distinct
+and counted. Documents then learn which of their own keys are frequent and rebuild their text by
 position. The keys of a document travel as hashes, its text moves once. No group of lines is ever gathered: the
 counts are sums, and the frequent keys are broadcast only when their counted number is small.
 
-Defined cases: null and empty text are one empty line; an empty key is never dropped; every row counts as a
-document, repeated rows too; rows that share a doc_id, or have none, keep their own texts; extra columns pass through.
+Defined cases: null and empty text are one empty line; an empty key is never dropped; rows that share
+a doc_id count as one document, those without one as none; rows that share a doc_id, or have none, keep their own texts; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -35,17 +36,23 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return out.select("_id", F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(7), F.col("_key")).alias("_g"))
 
 
+def _shipped(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with three more columns: kept_text, n_lines and n_dropped."""
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     lines = _exploded(slim)
-    counted = lines.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    rows = lines.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = materialise(rows.filter(F.col("_n") >= min_docs).select("_h", "_g"), "repeated-lines")
+    hits = materialise(lines.join(_shipped(repeated), ["_h", "_g"], "left_semi").select("_id", "_h", "_g"), "line-hits")
+    counted = hits.filter(F.col("_id").isNotNull()).distinct().groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
     frequent = materialise(counted.filter(F.col("_n") >= min_docs).select("_h", "_g"), "frequent-lines")
-    small = frequent.count() <= BROADCAST_KEYS
-    hits = lines.join(F.broadcast(frequent) if small else frequent, ["_h", "_g"], "left_semi")
-    per_doc = hits.groupBy("_id").agg(F.collect_set("_h").alias("_drop")).withColumnRenamed("_id", "_of")
+    per_doc = hits.join(_shipped(frequent), ["_h", "_g"], "left_semi").groupBy("_id").agg(F.collect_set("_h").alias("_drop")).withColumnRenamed("_id", "_of")
+    # per_doc grows with the corpus, so it is never broadcast
     whole = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    joined = whole.join(per_doc, F.col("_id").eqNullSafe(F.col("_of")), "left").withColumn("_lines", _lines(F.col("_text")))
+    joined = whole.join(per_doc.hint("merge"), F.col("_id").eqNullSafe(F.col("_of")), "left").withColumn("_lines", _lines(F.col("_text")))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~((F.length(line_key(x)) > 0) & F.array_contains(F.col("_drop"), F.xxhash64(line_key(x)))))
     )

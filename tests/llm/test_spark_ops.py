@@ -179,3 +179,12 @@ def test_decontamination_paraphrase(spark):
     rows = docs + [(k, " ".join(common[20:50] + copy + common[15:45])) for k, copy in ((200, item), (201, changed), (202, again))]
     found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.lcs) for r in found) == [(200, 1.0), (201, 0.75)]
+
+
+def test_line_dedup_counts_documents(spark):
+    """At the threshold of 10, documents count as in OP2_SQL: repeated rows once, rows without a doc_id not at all."""
+    from quadrille.llm.line_dedup import dedup_lines
+
+    rows = [(k, "twice") for k in range(5)] * 2 + [(None, "nobody's")] * 10 + [(k, "ten") for k in range(10, 20)] + [(k, "nine") for k in range(20, 29)] * 2
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {r.text: r.n_dropped for r in out} == {"twice": 0, "nobody's": 0, "ten": 1, "nine": 0}
