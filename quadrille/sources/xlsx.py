@@ -30,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from quadrille.functions.dates import DATE_FORMAT_IDS, datetime_to_serial, is_date_format, iso, serial_to_datetime
 from quadrille.functions.formula import column_letters, column_number
+from quadrille.functions.refs import shift_formula
 
 CELLS = "file string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, formula string"
 MAX_ROWS, MAX_COLS, MAX_TEXT = 1_048_576, 16_384, 32_767
@@ -107,6 +108,7 @@ class Workbook:
     def rows(self, part: str) -> Iterator[tuple[int, list[tuple]]]:
         """Row number, and (col from 0, kind, num, str, bool, err, formula) of each cell."""
         strings, dates, last = self.strings(), self.date_styles(), 0
+        anchors: dict[str, tuple[str, int, int]] = {}
         with self.open(part) as f:
             for _, e in iterparse(f):
                 if _local(e.tag) != "row":
@@ -119,10 +121,25 @@ class Workbook:
                         place = column_number(re.sub(r"[^A-Za-z]", "", ref)) - 1 if ref else place + 1
                         if place >= MAX_COLS:
                             raise ValueError(f"column {place + 1} is beyond the sheet")
-                        cells.append((place, *self._cell(c, strings, dates)))
+                        *cell, formula = self._cell(c, strings, dates)
+                        cells.append((place, *cell, self._shared(c, formula, last, place, anchors)))
                 yield last, cells
                 e.clear()
 
+    def _shared(self, c, formula: str | None, row: int, col: int, anchors: dict[str, tuple[str, int, int]]) -> str | None:
+        """The formula of a cell; a follower of a shared formula has its anchor's, moved to its place."""
+        f = next((e for e in c if _local(e.tag) == "f"), None)
+        if f is None or f.get("t") != "shared" or f.get("si") is None:
+            return formula
+        if formula:
+            if f.get("ref"):
+                anchors[f.get("si")] = formula, row, col
+            return formula
+        if f.get("si") not in anchors:
+            return formula
+        text, r, k = anchors[f.get("si")]
+        return shift_formula(text, row - r, col - k)
+
     def _cell(self, c, strings: list[str], dates: set[int]) -> tuple:
         kind, formula, value, inline = c.get("t") or "n", None, None, None
         for e in c:

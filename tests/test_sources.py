@@ -72,3 +72,15 @@ def test_xlsx_round_trip(spark, tmp_path):
     for k, s, n, b, d in rows:
         got = [cells.get((k + 1, c)) for c in range(4)]
         assert (got[0] and got[0].str, got[1] and got[1].num, got[2] and got[2].bool, got[3].str) == (s, n, b, dates.iso(d))
+
+
+def test_xlsx_shared_formulas(tmp_path):
+    import zipfile
+
+    path = f"{tmp_path}/shared.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in xlsx._fixed_parts("S").items():
+            z.writestr(name, xml)
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{xlsx._MAIN}"><sheetData><row r="1"><c r="C1"><f t="shared" ref="C1:D3" si="0">A1*$B$1</f><v>1</v></c><c r="D1"><f t="shared" si="0"/><v>2</v></c></row><row r="3"><c r="C3"><f t="shared" si="0"/></c><c r="D3"><f>A1</f></c><c r="E3"><f t="shared" si="9"/></c></row></sheetData></worksheet>')
+    cells = {(row, c[0]): c[-1] for row, found in xlsx.Workbook(path).rows("xl/worksheets/sheet1.xml") for c in found}
+    assert cells == {(1, 2): "A1*$B$1", (1, 3): "B1*$B$1", (3, 2): "A3*$B$1", (3, 3): "A1", (3, 4): None}
