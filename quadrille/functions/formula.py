@@ -153,6 +153,20 @@ def number(v: Value) -> Value:
     return Value("n", F.when(ok, t.try_cast("double")).when(v.col.isNull(), 0.0), F.coalesce(v.err, F.when(v.col.isNotNull() & ~ok, VALUE)))
 
 
+def _fifteen_digits(col: Column) -> Column:
+    """15 significant digits; with an exponent from 1E+21 and below 1E-6."""
+    shown = F.format_string("%.14e", col)
+    digits = F.regexp_replace(F.translate(F.regexp_extract(shown, r"(\d\.\d+)e", 1), ".", ""), "0+$", "")
+    power, n = F.regexp_extract(shown, r"e([+-]\d+)$", 1).cast("int"), F.length(digits)
+    point = power + 1
+    rest = lambda start: digits.substr(start + F.lit(1), F.lit(15))
+    large = F.concat(digits.substr(1, 1), F.when(n > 1, F.concat(F.lit("."), rest(F.lit(1)))).otherwise(""), F.when(power < 0, "E-").otherwise("E+"), F.abs(power).cast("string"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    mixed = F.concat(digits.substr(F.lit(1), point), F.lit("."), rest(point))
+    body = F.when((power >= 21) | (power < -6), large).when(power < 0, small).when(n <= point, F.concat(digits, F.repeat(F.lit("0"), point - n))).otherwise(mixed)
+    return F.concat(F.when(shown.startswith("-"), "-").otherwise(""), body)
+
+
 def text(v: Value) -> Value:
     """Whole numbers print without a fraction, booleans as TRUE and FALSE, a blank as ''."""
     if v.kind == "s":
@@ -162,8 +176,7 @@ def text(v: Value) -> Value:
     if v.kind == "b":
         return Value("s", F.when(v.col.isNull(), "").when(v.col, "TRUE").otherwise("FALSE"), v.err)
     whole = (v.col == F.floor(v.col)) & (F.abs(v.col) < 1e15)
-    plain = F.regexp_replace(F.regexp_replace(F.round(v.col, 9).cast("decimal(38,9)").cast("string"), "0+$", ""), r"\.$", "")
-    return Value("s", F.when(v.col.isNull(), "").when(whole, v.col.cast("decimal(20,0)").cast("string")).otherwise(plain), v.err)
+    return Value("s", F.when(v.col.isNull(), "").when(whole, v.col.cast("decimal(20,0)").cast("string")).otherwise(_fifteen_digits(v.col)), v.err)
 
 
 def truth(v: Value) -> Value:

@@ -36,3 +36,8 @@ def test_unsupported(sheet, formula):
 def test_letters():
     assert [column_letters(n) for n in (1, 26, 27, 702, 703, 16384)] == ["A", "Z", "AA", "ZZ", "AAA", "XFD"]
     assert all(column_number(column_letters(n)) == n for n in range(1, 3000))
+
+
+@pytest.mark.parametrize("formula,want", [("CONCATENATE(1/3)", "0.333333333333333"), ('1E-10&""', "1E-10"), ('-2.5E-7&""', "-2.5E-7"), ('0.000001&""', "0.000001"), ('1.5E21&""', "1.5E+21"), ('1E20&""', "100000000000000000000"), ('1234567890123456&""', "1234567890123460"), ('-12.5&""', "-12.5"), ('IF(TRUE,200/3,"x")', "66.6666666666667")])
+def test_number_text(sheet, formula, want):
+    test_value(sheet, formula, want)
