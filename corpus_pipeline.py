@@ -12,11 +12,12 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go; those without text or doc_id stay."""
+    """Documents that score 0.3 or more go; those without text or doc_id stay, and all if nothing can be learned."""
     from quadrille.llm.toxicity import score_documents, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, train(docs, labels), keep_below=0.3)
+    model = train(docs, labels)
+    return score_documents(docs, model, keep_below=0.3) if model.weights else docs
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,3 +188,10 @@ def test_line_dedup_counts_documents(spark):
     rows = [(k, "twice") for k in range(5)] * 2 + [(None, "nobody's")] * 10 + [(k, "ten") for k in range(10, 20)] + [(k, "nine") for k in range(20, 29)] * 2
     out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and {r.text: r.n_dropped for r in out} == {"twice": 0, "nobody's": 0, "ten": 1, "nine": 0}
+
+
+def test_pipeline_without_labels(spark, hard, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.toxicity(spark, hard, str(tmp_path)).count() == hard.count()
