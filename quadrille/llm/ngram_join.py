@@ -10,35 +10,44 @@ the sketch. Pairs that share at least so many prefix shingles as the l of either
 Of a pair, the smaller set can do with a shorter prefix, |x| - ceil(6/7 |x|) + l, and the sizes tell more exactly how many
 shared prefix shingles a similar pair has at least; so unlike sets of one frequent passage seldom become candidates.
 
-Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs: in a few rounds
-each node is verified against one pivot of a shared shingle (first the middles of families, sets of frequent shingles,
-then drawn ones), and what links is one component; then only pairs between components are made and verified, so no link
-between components is lost. Components are found by large-star and
+Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs. First each node
+is verified against one pivot of a shared shingle, the middle of its family; what links is one component. Then only
+pairs between components matter. Shingles of few nodes give such pairs directly. The nodes of a shingle that many share
+are compared by what tells them from its pivot p: with D = x xor p, two sets are similar if and only if D and D' share at
+least t = (7(|D| + |D'|) - |x| - |y|) / 14 shingles. If x does not link with p, t is positive for every y, so the
+differences are joined on their prefixes in turn, by bands of 7|D| - |x|; the random edits of a family's members
+are in no other difference, and no pair comes of them. Differences that many share take a pivot in turn, in at most
+LEVELS rounds, after which they give pairs. So no link between components is lost. Components are found by large-star and
 small-star rounds over the edge table, cut by written tables. Nothing of the corpus but the sketch (4 MB) and counts
 goes to the driver.
 
 Defined cases: documents without words have no shingles and link with nothing; with fewer than five words the whole
 sequence is one shingle; rows without a doc_id link with nothing and have no component; rows that share a doc_id are
-one node if their texts are equal, and texts of one doc_id count for it together; extra columns are not read.
+one node if their texts are equal, and texts of one doc_id count for it together; a very long text is one row's work,
+of memory in proportion to it; doc_ids are whole numbers; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import materialise, mix, shingle_hashes, word_hashes
+from quadrille.llm.common import materialise, mix, release, shingle_hashes, word_hashes
 
 BITS, SEGMENT = 20, 1024
 BROADCAST_NODES = 500_000
 MOST_MATCHES = 4
-ROUNDS = 2
+#: Nodes of a key that are paired directly, and rounds in which larger keys are split by differences.
+FEW, LEVELS = 8, 3
+#: A shingle with more postings than this is dealt to many tasks.
+HOT_POSTINGS = 50_000
+DIFFERENCES = "a long, b long, key long, n int, d int, pos int"
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("l", "i1"), ("hub", "<u2"), ("pos", "<i4"), ("part", "<u2")])
 _PLACE = np.uint64(64 - BITS)
 
@@ -115,8 +124,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The linked ones of pairs (a, b), from the whole texts. A pivot with many partners is dealt to 16 salts."""
+def _beside(docs: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The texts of pairs (a, b), by a: first those of a itself, then those of b; and the tables to release. A pivot a
+    with many partners is dealt to 16 salts."""
     need = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-need")
     small = need.count() <= BROADCAST_NODES
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(need) if small else need, "id", "left_semi")
@@ -125,13 +135,69 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     members = salted.join(texts, salted["b"] == texts["id"]).select("a", "salt", F.lit(1).alias("member"), "b", "text")
     heads = salted.select("a", "salt").distinct()
     pivots = heads.join(texts, heads["a"] == texts["id"]).select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
-    rows = members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    return materialise(rows.mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
+    return members.unionByName(pivots).repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "text"), [need, texts]
+
+
+def verify_pairs(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The linked ones of pairs (a, b), from the whole texts."""
+    rows, held = _beside(docs, pairs, name)
+    out = materialise(rows.mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
+    release(*held)
+    return out
+
+
+def difference_rows(x: np.ndarray, p: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+    """The prefixes of x xor p, one for each band of partners that x can be similar to: the bands of both, the prefix in
+    order (words only in x, from rare to frequent, then those only in p), and |x xor p|."""
+    added, gone = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+    d, n, linked = len(added) + len(gone), len(x), len(p)
+    excess, width = 7 * d - n, max(14, len(p))
+    whole = np.concatenate([added[np.lexsort((added, sketch[(added >> _PLACE).astype(np.int64)]))], gone])
+    own, low = excess // width, max(excess - 8 * n // 3 - 1, -(4 * n // 3) - 1)
+    if excess <= linked:  # of two that both link with p nothing is asked
+        low = max(low, linked + 1)
+    for band in range(low // width, (excess + 2 * n) // width + 1):
+        t = max(1, -(-(excess + max(low, band * width)) // 14))
+        if t <= d:
+            yield (min(own, band) + 4096) * 65536 + max(own, band) + 4096, whole[: d - t + 1], d
+
+
+def _differences(shared) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, sets = None, []
+        for batch in batches:
+            made: list[tuple] = []
+            for a, salt, member, b, text in zip(*(batch.column(k).to_pylist() for k in ("a", "salt", "member", "b", "text"))):
+                if pivot != (a, salt):
+                    pivot, sets = (a, salt), []
+                s = shingles(text)
+                if not member:
+                    sets.append(s)
+                    continue
+                if any(_linked(p, s) for p in sets):
+                    made.append((a, b, None, 0, 0, 0))
+                for k, p in enumerate(sets):
+                    mark = mix(np.array([a, k], dtype=np.int64).view(np.uint64))
+                    for bands, head, d in difference_rows(s, p, shared.value) if len(s) else ():
+                        keys = mix(head ^ mix(mark[:1] + mark[1:] * np.uint64(bands))).view(np.int64)
+                        made += [(a, b, key, len(s), d, j) for j, key in enumerate(keys.tolist())]
+                if len(made) > 100_000:
+                    yield _posted(made)
+                    made = []
+            yield _posted(made)
+
+    return run
+
+
+def _posted(rows: list[tuple]) -> pa.RecordBatch:
+    fields = [x.split() for x in DIFFERENCES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.int32()) for c, (_, k) in zip(list(zip(*rows)) or [()] * 6, fields)], names=[f for f, _ in fields])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of an edge table (a, b)."""
     now = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("c")).distinct(), "edges")
+    before = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("p", "c"))).first()
     while True:
         both = now.union(now.select(F.col("c").alias("p"), F.col("p").alias("c")))
         low = both.groupBy("p").agg(F.least(F.min("c"), F.first("p")).alias("m"))
@@ -141,9 +207,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "c").select("c", "p", "m")
         after = small.filter("p <> m").select(F.col("m").alias("p"), F.col("p").alias("c")).union(low.select(F.col("m").alias("p"), "c")).distinct()
         after = materialise(after, "edges")
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        state = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("p", "c"))).first()
+        if state == before:  # the same distinct edges
             return after.groupBy(F.col("c").alias("node")).agg(F.min("p").alias("component"))
-        now = after
+        release(now)
+        now, before = after, state
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -157,6 +225,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     total = int((rows.agg(F.sum("n")).first()[0]) or 0)
     shared = docs.sparkSession.sparkContext.broadcast(sketch.reshape(-1))
     load, buckets = total / (1 << BITS), max(12, total // 3_000_000)
+    hot = max(HOT_POSTINGS, 8 * load)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
@@ -177,9 +246,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
             if made:
                 whole = np.concatenate(made)
                 bucket = (mix(whole["token"].copy()) % np.uint64(buckets)).astype(np.int64)
+                # a shingle of very many documents is no rare one; its postings are dealt by node and need no look at each other
+                often = table[(whole["token"] >> _PLACE).astype(np.int64)] > hot
+                bucket[often] = buckets + whole["node"][often] % buckets
                 order = np.argsort(bucket, kind="stable")
-                whole, ends = whole[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                some = [k for k in range(buckets) if ends[k] < ends[k + 1]]
+                whole, ends = whole[order], np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
+                some = [k for k in range(2 * buckets) if ends[k] < ends[k + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([whole[ends[k] : ends[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "blob"])
 
     def shared_tokens(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +260,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         order = np.argsort(token, kind="stable")
         token = token[order]
         again = token[1:] == token[:-1]
-        keep = order[np.append(again, False) | np.insert(again, 0, False)] if len(token) else order
+        keep = order[np.append(again, False) | np.insert(again, 0, False)] if len(token) and key[0].as_py() < buckets else order
         for at in range(0, len(keep), 200_000):
             x = whole[keep[at : at + 200_000]]
             cols = [x["token"].view("<u8").astype(np.int64), x["node"], x["n"], *(x[k].astype(np.int32) for k in ("l", "hub", "pos", "part"))]
@@ -199,33 +271,51 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     known = materialise(rows.join(classes, "key", "left").withColumn("node", F.coalesce("node", "doc_id")).select("doc_id", "n", "node"), "nodes")
     copies = known.filter("node <> doc_id").select(F.col("doc_id").alias("id"), "node")
-    found = materialise(found, "shared-shingles")
-    found = found.join(copies, "id", "left").select("token", F.coalesce("node", "id").alias("node"), "n", "l", "hub", "pos", "part").distinct()
+    several = materialise(found, "shared-shingles")
+    found = several.join(copies, "id", "left").select("token", F.coalesce("node", "id").alias("node"), "n", "l", "hub", "pos", "part").distinct()
     found = materialise(found, "postings")
+    release(several)
 
-    links = comp = None
+    # each node against one pivot of its shingles, the middle of a family
     labelled = found.withColumn("comp", F.col("node"))
-    for k in range(ROUNDS):
-        # the first round's pivots are the middles of families, the next ones' are drawn
-        rank = F.struct("hub", -F.col("node")) if k == 0 else F.xxhash64("node", F.lit(k))
-        tops = labelled.groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "comp", "pos", "part"), rank).alias("t"))
-        star = _enough(labelled.join(tops, "token"), "t.", "")
-        best = star.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-        best = materialise(best, f"star{k}")
-        if k and best.isEmpty():
+    tops = labelled.groupBy("token").agg(F.max_by(F.struct("node", "n", "l", "comp", "pos", "part"), F.struct("hub", -F.col("node"))).alias("t"))
+    star = _enough(labelled.join(tops, "token"), "t.", "")
+    best = materialise(star.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "star")
+    links = verify_pairs(docs, best, "star")
+    comp = materialise(components(links), "components")
+    # shingles of one component can link nothing new; main is the component with the most nodes of a shingle
+    labelled = _labelled(found, comp, "node")
+    sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token")
+    sizes = sizes.agg(F.sum("size").alias("g"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    mixed = materialise(labelled.join(sizes.filter("comps > 1").select("token", "main", "g"), "token"), "mixed")
+    few = mixed.filter(F.col("g") <= FEW)
+    pairs = _enough(few.filter("comp <> main").alias("a").join(few.alias("b"), "token").filter("b.comp = b.main or a.node < b.node"), "a.", "b.", unordered=True).select("a", "b")
+
+    many = mixed.filter(F.col("g") > FEW).select(F.col("token").alias("key"), F.col("node").alias("b"), F.struct("hub", -F.col("node")).alias("rank"))
+    held = [found, mixed, best]
+    for level in range(LEVELS):
+        pivots = many.groupBy("key").agg(F.max_by("b", "rank").alias("a"))
+        groups = materialise(many.join(pivots, "key").filter("a <> b").select("a", "b").distinct(), f"groups{level}")
+        if groups.isEmpty():
             break
-        got = verify_pairs(docs, best, f"star{k}")
-        links = got if links is None else links.union(got)
+        rows, used = _beside(docs, groups, f"groups{level}")
+        rows = materialise(rows.mapInArrow(_differences(shared), DIFFERENCES), f"differences{level}")
+        release(*used)
+        links = links.union(rows.filter("key is null").select("a", "b").distinct())
         comp = materialise(components(links), "components")
-        labelled = _labelled(found, comp)
-        # tokens of one component can link nothing new; main is the component with the most nodes of a token
-        sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
-        labelled = materialise(labelled.join(sizes.filter("comps > 1").select("token", "main"), "token"), "mixed")
-    a, b = labelled.filter("comp <> main").alias("a"), labelled.alias("b")
-    pairs = _enough(a.join(b, "token").filter("b.comp = b.main or a.node < b.node"), "a.", "b.", unordered=True)
-    pairs = materialise(pairs.select("a", "b"), "pairs")
+        labelled = _labelled(rows.filter("key is not null").drop("a"), comp, "b")
+        sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("key", "g")
+        mixed = materialise(labelled.join(sizes, "key"), f"mixed{level}")
+        few = mixed if level == LEVELS - 1 else mixed.filter(F.col("g") <= FEW)
+        t = "greatest(1, ceil((7 * (x.d + y.d) - x.n - y.n) / 14))"
+        near = few.alias("x").join(few.alias("y"), "key").filter(f"x.b < y.b and x.comp <> y.comp and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.pos <= x.d - {t} and y.pos <= y.d - {t}")
+        pairs = pairs.union(near.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
+        many = mixed.filter(F.col("g") > FEW).select("key", "b", F.xxhash64("b", F.lit(level)).alias("rank"))
+        held += [groups, rows, mixed]
+    pairs = materialise(pairs.distinct(), "pairs")
     links = links.union(verify_pairs(docs, pairs, "cross"))
     comp = materialise(components(links), "components")
+    release(profile, *held, pairs)
     out = known.join(comp, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
@@ -253,5 +343,7 @@ def _enough(joined: DataFrame, x: str, y: str, unordered: bool = False) -> DataF
     return counted.filter("c >= least - rest and c + after - 1 >= least").groupBy("a", "b").agg(F.max("c").alias("c"))
 
 
-def _labelled(found: DataFrame, comp: DataFrame) -> DataFrame:
-    return found.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+def _labelled(rows: DataFrame, comp: DataFrame, node: str) -> DataFrame:
+    """rows with the component (comp) of the node in a column."""
+    known = comp.select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
+    return rows.join(known, rows[node] == known["_node"], "left").withColumn("comp", F.coalesce("_comp", node)).drop("_node", "_comp")

@@ -125,3 +125,31 @@ def test_licenses_side_by_side_or_without_marker():
         assert [x[0] for x in license_scan.scan_text("w " * 30 + text + " w" * 30)] == ["MIT-grant"]
     assert [x[0] for x in license_scan.scan_text("Licensed under the Apahce License, Version 2.0.")] == ["Apache-2.0"]
     assert license_scan.scan_text("Released under the BSD License.") == [] == license_scan.scan_text("Licensed under CC BY 4.0.")
+
+
+def test_differences_lose_no_pair():
+    """Of three random sets, each similar pair that a pivot doesn't link shares a key at places that the join admits."""
+    import numpy as np
+
+    from quadrille.llm.ngram_join import BITS, _linked, difference_rows
+
+    r = np.random.default_rng(3)
+    sketch = r.integers(0, 9, 1 << BITS)
+    pool = np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    met = 0
+    for _ in range(1500):
+        base = r.choice(pool, r.integers(1, 120), replace=False)
+
+        def near(most):
+            keep = base[r.random(len(base)) > r.random() * most]
+            return np.unique(np.concatenate([keep, r.choice(pool, int(len(base) * r.random() * most), replace=False)]))
+
+        p, x, y = near(0.9), near(0.2), near(0.2)
+        if not len(x) or not len(y) or not len(p) or not _linked(x, y) or (_linked(x, p) and _linked(y, p)):
+            continue
+        met += 1
+        keys = [{(bands, int(k)): (j, d) for bands, head, d in difference_rows(s, p, sketch) for j, k in enumerate(head)} for s in (x, y)]
+        d, e = len(np.setxor1d(x, p)), len(np.setxor1d(y, p))
+        t = max(1, -(-(7 * (d + e) - len(x) - len(y)) // 14))
+        assert any(keys[0][k][0] <= d - t and keys[1][k][0] <= e - t for k in keys[0].keys() & keys[1].keys())
+    assert met > 100

@@ -96,11 +96,22 @@ def test_ngram_join(spark, hard):
     assert near_groups(hard.limit(0)).count() == 0
 
 
+def groups_of_all_pairs(texts):
+    from quadrille.llm.ngram_join import _linked, shingles
+
+    group, sets = list(range(len(texts))), [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if _linked(sets[i], sets[j])]
+    while any(group[i] != group[j] for i, j in links):
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    return group
+
+
 def test_ngram_join_finds_links_across_stars(spark):
     """Random families of near copies, against all pairs."""
     import random
 
-    from quadrille.llm.ngram_join import _linked, near_groups, shingles
+    from quadrille.llm.ngram_join import near_groups
 
     r = random.Random(4)
     texts = []
@@ -111,15 +122,36 @@ def test_ngram_join_finds_links_across_stars(spark):
             for _ in range(r.randint(0, 4)):
                 w[r.randrange(60)] = f"n{r.random()}"
             texts.append(" ".join(w[: r.randint(48, 60)]))
-    group = list(range(len(texts)))
-    sets = [shingles(t) for t in texts]
-    for _ in texts:
-        for i in range(len(texts)):
-            for j in range(len(texts)):
-                if _linked(sets[i], sets[j]):
-                    group[i] = group[j] = min(group[i], group[j])
     out = {x.doc_id: x.component_id for x in near_groups(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()}
-    assert [out[k] for k in range(len(texts))] == group
+    assert [out[k] for k in range(len(texts))] == groups_of_all_pairs(texts)
+
+
+def test_ngram_join_of_hot_shingles(spark):
+    """A large family whose outer members link with few or none, chains of edits, and a passage in 30% of the documents."""
+    import random
+
+    from quadrille.llm.ngram_join import near_groups
+
+    r = random.Random(9)
+    texts, base, passage = [], [f"b{k}" for k in range(80)], [f"p{k}" for k in range(70)]
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4, 5, 6, 8))):
+            w[r.randrange(80)] = f"n{r.random()}"
+        texts.append(" ".join(w[r.randint(0, 6) : r.randint(70, 80)]))
+    chain = list(base)
+    for k in range(30):  # each links with the one before, the last with nothing of the family
+        chain[(k * 7) % 80] = f"chain{k}"
+        texts.append(" ".join(chain))
+    for k in range(120):
+        own = [f"o{k % 17 if k % 3 else k}x{j}" for j in range(r.randint(4, 40))]
+        texts.append(" ".join([*own, *passage, *(f"t{r.random()}" for _ in range(r.randint(0, 5)))]))
+    texts += [" ".join(f"a{k}x{j}" for j in range(60)) for k in range(100)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[k] for k in order]
+    out = {x.doc_id: x.component_id for x in near_groups(docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()}
+    assert [out[k] for k in range(len(texts))] == groups_of_all_pairs(texts)
 
 
 def test_decontamination(spark, hard):
