@@ -16,8 +16,7 @@ pairs between components matter. Shingles of few nodes give such pairs directly.
 are compared by what tells them from its pivot p: with D = x xor p, two sets are similar if and only if D and D' share at
 least t = (7(|D| + |D'|) - |x| - |y|) / 14 shingles. If x does not link with p, t is positive for every y, so the
 differences are joined on their prefixes in turn, by bands of 7|D| - |x|; the random edits of a family's members
-are in no other difference, and no pair comes of them. Differences that many share take a pivot in turn, in at most
-LEVELS rounds, after which they give pairs. So no link between components is lost. Components are found by large-star and
+are in no other difference, and no pair comes of them. So no link between components is lost. Components are found by large-star and
 small-star rounds over the edge table, cut by written tables. Nothing of the corpus but the sketch (4 MB) and counts
 goes to the driver.
 
@@ -36,6 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import materialise, mix, release, shingle_hashes, word_hashes
@@ -43,11 +43,11 @@ from quadrille.llm.common import materialise, mix, release, shingle_hashes, word
 BITS, SEGMENT = 20, 1024
 BROADCAST_NODES = 500_000
 MOST_MATCHES = 4
-#: Nodes of a key that are paired directly, and rounds in which larger keys are split by differences.
-FEW, LEVELS = 8, 3
+#: Nodes of a shingle that are paired directly; so each posting meets 31 others at most.
+FEW = 32
 #: A shingle with more postings than this is dealt to many tasks.
 HOT_POSTINGS = 50_000
-DIFFERENCES = "a long, b long, key long, n int, d int, pos int"
+DIFFERENCES = "a long, b long, key long, bands long, n int, d int, pos int"
 POSTING = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("l", "i1"), ("hub", "<u2"), ("pos", "<i4"), ("part", "<u2")])
 _PLACE = np.uint64(64 - BITS)
 
@@ -175,12 +175,12 @@ def _differences(shared) -> Callable:
                     sets.append(s)
                     continue
                 if any(_linked(p, s) for p in sets):
-                    made.append((a, b, None, 0, 0, 0))
+                    made.append((a, b, None, None, 0, 0, 0))
                 for k, p in enumerate(sets):
                     mark = mix(np.array([a, k], dtype=np.int64).view(np.uint64))
                     for bands, head, d in difference_rows(s, p, shared.value) if len(s) else ():
                         keys = mix(head ^ mix(mark[:1] + mark[1:] * np.uint64(bands))).view(np.int64)
-                        made += [(a, b, key, len(s), d, j) for j, key in enumerate(keys.tolist())]
+                        made += [(a, b, key, bands, len(s), d, j) for j, key in enumerate(keys.tolist())]
                 if len(made) > 100_000:
                     yield _posted(made)
                     made = []
@@ -191,7 +191,7 @@ def _differences(shared) -> Callable:
 
 def _posted(rows: list[tuple]) -> pa.RecordBatch:
     fields = [x.split() for x in DIFFERENCES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.int32()) for c, (_, k) in zip(list(zip(*rows)) or [()] * 6, fields)], names=[f for f, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.int32()) for c, (_, k) in zip(list(zip(*rows)) or [()] * 7, fields)], names=[f for f, _ in fields])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,31 +291,26 @@ def near_groups(docs: DataFrame) -> DataFrame:
     few = mixed.filter(F.col("g") <= FEW)
     pairs = _enough(few.filter("comp <> main").alias("a").join(few.alias("b"), "token").filter("b.comp = b.main or a.node < b.node"), "a.", "b.", unordered=True).select("a", "b")
 
-    many = mixed.filter(F.col("g") > FEW).select(F.col("token").alias("key"), F.col("node").alias("b"), F.struct("hub", -F.col("node")).alias("rank"))
-    held = [found, mixed, best]
-    for level in range(LEVELS):
-        pivots = many.groupBy("key").agg(F.max_by("b", "rank").alias("a"))
-        groups = materialise(many.join(pivots, "key").filter("a <> b").select("a", "b").distinct(), f"groups{level}")
-        if groups.isEmpty():
-            break
-        rows, used = _beside(docs, groups, f"groups{level}")
-        rows = materialise(rows.mapInArrow(_differences(shared), DIFFERENCES), f"differences{level}")
-        release(*used)
-        links = links.union(rows.filter("key is null").select("a", "b").distinct())
-        comp = materialise(components(links), "components")
-        labelled = _labelled(rows.filter("key is not null").drop("a"), comp, "b")
-        sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("key", "g")
-        mixed = materialise(labelled.join(sizes, "key"), f"mixed{level}")
-        few = mixed if level == LEVELS - 1 else mixed.filter(F.col("g") <= FEW)
-        t = "greatest(1, ceil((7 * (x.d + y.d) - x.n - y.n) / 14))"
-        near = few.alias("x").join(few.alias("y"), "key").filter(f"x.b < y.b and x.comp <> y.comp and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.pos <= x.d - {t} and y.pos <= y.d - {t}")
-        pairs = pairs.union(near.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
-        many = mixed.filter(F.col("g") > FEW).select("key", "b", F.xxhash64("b", F.lit(level)).alias("rank"))
-        held += [groups, rows, mixed]
+    many = mixed.filter(F.col("g") > FEW)
+    tops = many.groupBy("token").agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("a"))
+    groups = materialise(many.join(tops, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "groups")
+    rows, used = _beside(docs, groups, "groups")
+    rows = materialise(rows.mapInArrow(_differences(shared), DIFFERENCES), "differences")
+    links = links.union(rows.filter("key is null").select("a", "b").distinct())
+    keyed = _labelled(rows.filter("key is not null"), comp, "b")
+    # of the keys with the same nodes, the first in order comes first for each of them, and one suffices
+    sets = keyed.groupBy("key").agg(F.first("a").alias("a"), F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("b", "n", "d")).alias("who"), F.min("pos").alias("at"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    firsts = sets.filter("low <> high").groupBy("a", "g", "who").agg(F.min_by("key", F.struct("at", "key")).alias("key")).select("key")
+    # where two have the same key just before, their pair comes of that one
+    order = W.partitionBy("a", "b", "n", "d", "bands").orderBy("pos", "key")
+    keyed = materialise(keyed.join(firsts, "key", "left_semi").withColumn("before", F.lag("key").over(order)), "keyed")
+    t = "greatest(1, ceil((7 * (x.d + y.d) - x.n - y.n) / 14))"
+    near = keyed.alias("x").join(keyed.alias("y"), "key").filter(f"x.b < y.b and (x.before is null or y.before is null or x.before <> y.before) and x.comp <> y.comp and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and x.pos <= x.d - {t} and y.pos <= y.d - {t}")
+    pairs = pairs.union(near.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")))
     pairs = materialise(pairs.distinct(), "pairs")
     links = links.union(verify_pairs(docs, pairs, "cross"))
     comp = materialise(components(links), "components")
-    release(profile, *held, pairs)
+    release(profile, found, mixed, best, groups, *used, rows, keyed, pairs)
     out = known.join(comp, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 

@@ -126,12 +126,16 @@ def test_ngram_join_finds_links_across_stars(spark):
     assert [out[k] for k in range(len(texts))] == groups_of_all_pairs(texts)
 
 
-def test_ngram_join_of_hot_shingles(spark):
+@pytest.mark.parametrize("few", [2, 32])
+def test_ngram_join_of_hot_shingles(spark, monkeypatch, few):
     """A large family whose outer members link with few or none, chains of edits, and a passage in 30% of the documents."""
     import random
 
+    from quadrille.llm import ngram_join
     from quadrille.llm.ngram_join import near_groups
 
+    monkeypatch.setattr(ngram_join, "FEW", few)
+
     r = random.Random(9)
     texts, base, passage = [], [f"b{k}" for k in range(80)], [f"p{k}" for k in range(70)]
     for k in range(150):
