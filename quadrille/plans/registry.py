@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,195 +22,3 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _exact_sum(col):
-    return F.sum(col.cast("decimal(18,2)")).cast("double")
-
-
-@query("""SELECT l_returnflag, l_linestatus, CAST(SUM(CAST(round(l_extendedprice * (1 - l_discount), 4) AS DECIMAL(28,4))) AS DOUBLE) AS sum_price,
- COUNT(l_quantity) AS n, MIN(l_quantity) AS min_qty, MAX(l_quantity) AS max_qty FROM lineitem GROUP BY 1, 2""")
-def order_sheet(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
-    price = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(28,4)")
-    return t.groupBy("l_returnflag", "l_linestatus").agg(F.sum(price).cast("double").alias("sum_price"), F.count("l_quantity").alias("n"), F.min("l_quantity").alias("min_qty"), F.max("l_quantity").alias("max_qty"))
-
-
-@query("""SELECT o_orderkey, o_totalprice, RANK() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS place FROM orders QUALIFY place <= 10""")
-def rule_top10(spark, sf_dir):
-    rank = F.rank().over(W.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice")))
-    return table(spark, sf_dir, "orders").withColumn("place", rank).filter("place <= 10").select("o_orderkey", "o_totalprice", F.col("place").cast("long").alias("place"))
-
-
-@query("""SELECT c_custkey, COUNT(*) OVER (PARTITION BY lower(c_mktsegment)) > 1 AS repeated FROM customer""")
-def rule_duplicates(spark, sf_dir):
-    t = table(spark, sf_dir, "customer")
-    n = t.groupBy(F.lower("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return t.join(n, F.lower("c_mktsegment").eqNullSafe(F.col("k"))).select("c_custkey", (F.col("n") > 1).alias("repeated"))
-
-
-@query("""SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%' || 'a' || '%' AND lower(p_type) LIKE 's%'""")
-def rule_text(spark, sf_dir):
-    t = table(spark, sf_dir, "part")
-    return t.filter(F.lower("p_name").contains("a") & F.lower("p_type").startswith("s")).select("p_partkey", "p_name")
-
-
-@query("""SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice BETWEEN 1000 AND 50000) AS n FROM orders GROUP BY 1""")
-def rule_cell_is(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_totalprice").between(1000, 50000)).alias("n"))
-
-
-@query("""SELECT o_orderkey + 0 AS o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice / (o_custkey % 3) END AS value,
- CASE WHEN o_custkey % 3 = 0 THEN '#DIV/0!' END AS err FROM orders""")
-def formula_div_error(spark, sf_dir):
-    d = F.col("o_custkey") % 3
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(d != 0, F.try_divide(F.col("o_totalprice"), d.cast("double"))).alias("value"), F.when(d == 0, "#DIV/0!").alias("err"))
-
-
-@query("""SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS label FROM nation""")
-def formula_concat(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("-"), F.col("n_regionkey").cast("string")).alias("label"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'low' END AS band FROM orders""")
-def formula_if_nested(spark, sf_dir):
-    p = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(p > 100000, "high").when(p > 10000, "mid").otherwise("low").alias("band"))
-
-
-@query("""SELECT CAST(COALESCE(SUM(value), 0) AS DOUBLE) AS total, COUNT(value) AS n, CASE WHEN COUNT(value) = 0 THEN '#DIV/0!' END AS average_err FROM events WHERE event_id < 0""")
-def formula_empty_range(spark, sf_dir):
-    t = table(spark, sf_dir, "events").filter("event_id < 0")
-    return t.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"), F.count("value").alias("n"), F.when(F.count("value") == 0, "#DIV/0!").alias("average_err"))
-
-
-@query("""SELECT o_orderkey + CASE WHEN o_orderkey >= 100 THEN 5 ELSE 0 END AS row_number, o_custkey FROM orders""")
-def insert_rows(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select((k + F.when(k >= 100, 5).otherwise(0)).cast("long").alias("row_number"), "o_custkey")
-
-
-@query("""SELECT o_orderkey - CASE WHEN o_orderkey >= 105 THEN 5 ELSE 0 END AS row_number, o_custkey FROM orders WHERE NOT o_orderkey BETWEEN 100 AND 104""")
-def delete_rows(spark, sf_dir):
-    k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(~k.between(100, 104)).select((k - F.when(k >= 105, 5).otherwise(0)).cast("long").alias("row_number"), "o_custkey")
-
-
-@query("""SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey <= 200""")
-def preview_first_n(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderkey <= 200").select("o_orderkey", "o_orderpriority")
-
-
-@query("""SELECT 'p_name' AS name, CAST(LEAST(255, GREATEST(10, MAX(length(p_name)) * 1.2)) AS DOUBLE) AS width FROM part""")
-def autofit_width(spark, sf_dir):
-    w = F.least(F.lit(255.0), F.greatest(F.lit(10.0), F.round(F.max(F.length("p_name")) * F.lit(1.2), 2)))
-    return table(spark, sf_dir, "part").agg(F.lit("p_name").alias("name"), w.alias("width")).select("name", "width")
-
-
-@query("""SELECT o_orderpriority AS str, ROW_NUMBER() OVER (ORDER BY MIN(o_orderkey)) - 1 AS id, COUNT(*) AS refs FROM orders GROUP BY 1""")
-def shared_strings(spark, sf_dir):
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("str")).agg(F.min("o_orderkey").alias("at"), F.count(F.lit(1)).alias("refs"))
-    return g.select("str", (F.row_number().over(W.orderBy("at")) - 1).cast("long").alias("id"), "refs")
-
-
-@query("""SELECT doc_id, CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)) OR contains(text, chr(13)) THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
-def csv_quote(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(t.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t).alias("field"))
-
-
-@query("""SELECT o_orderkey, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) AS serial FROM orders""")
-def serial_from_date(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("long").alias("serial"))
-
-
-def _compiled(df: DataFrame, formula: str):
-    from quadrille.functions.formula import bind, compile_formula
-
-    return compile_formula(formula, bind(df))
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * (1 - l_discount) AS value FROM lineitem""")
-def formula_fill_down(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem")
-    return t.select("l_orderkey", "l_linenumber", "l_extendedprice", _compiled(t, "=F2*(1-G2)").col.alias("value"))
-
-
-@query("""SELECT p_partkey, p_retailprice / 100 AS share, CASE WHEN p_size < 0 THEN NULL ELSE pow(p_size, 2) END AS power FROM part""")
-def formula_power_percent(spark, sf_dir):
-    t = table(spark, sf_dir, "part")
-    return t.select("p_partkey", _compiled(t, "=F2%").col.alias("share"), _compiled(t, "=E2^2").col.alias("power"))
-
-
-@query("""SELECT n_nationkey, lower(n_name) > 'f' AS later, TRUE AS text_over_number FROM nation""")
-def formula_compare_mixed(spark, sf_dir):
-    t = table(spark, sf_dir, "nation")
-    return t.select("n_nationkey", _compiled(t, '=B2>"F"').col.alias("later"), _compiled(t, "=B2>A2").col.alias("text_over_number"))
-
-
-@query("""SELECT l_returnflag, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(COUNT(l_quantity) AS DOUBLE) AS n,
- CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l_quantity) AS average, MIN(l_quantity) AS least, MAX(l_quantity) AS most FROM lineitem GROUP BY 1""")
-def formula_aggregates(spark, sf_dir):
-    from quadrille.functions.formula import aggregate
-
-    q = F.col("l_quantity")
-    parts = {k: aggregate(f, q)[0] for k, f in (("n", "COUNT"), ("least", "MIN"), ("most", "MAX"))}
-    total = _exact_sum(q)
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(total.alias("total"), (total / F.count(q)).alias("average"), *[c.alias(k) for k, c in parts.items()])
-
-
-@query("""SELECT o_orderkey, o_totalprice, SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW)::DOUBLE AS near FROM orders""")
-def formula_range_window(spark, sf_dir):
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey").rangeBetween(-1000, 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(w).cast("double").alias("near"))
-
-
-@query("""SELECT p_partkey, (p_retailprice - MIN(p_retailprice) OVER ()) / (MAX(p_retailprice) OVER () - MIN(p_retailprice) OVER ()) AS bar FROM part""")
-def rule_data_bar(spark, sf_dir):
-    t = table(spark, sf_dir, "part")
-    ends = t.agg(F.min("p_retailprice"), F.max("p_retailprice")).first()  # one row
-    lo, hi = ends
-    return t.select("p_partkey", ((F.col("p_retailprice") - F.lit(lo)) / F.lit((hi or 0) - (lo or 0))).alias("bar"))
-
-
-@query("""SELECT c_custkey, c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) FROM customer) AS above FROM customer""")
-def rule_above_average(spark, sf_dir):
-    t = table(spark, sf_dir, "customer")
-    total, n = t.agg(_exact_sum(F.col("c_acctbal")), F.count("c_acctbal")).first()  # one row
-    return t.select("c_custkey", (F.col("c_acctbal") > F.lit(total / n if n else None)).alias("above"))
-
-
-@query("""SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice BETWEEN 0 AND 1000000 AS valid FROM orders""")
-def validation_check(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_totalprice").between(0, 1000000)).alias("valid"))
-
-
-@query("""SELECT coalesce(o.o_orderkey, e.k) AS o_orderkey, coalesce(e.v, o.o_totalprice) AS o_totalprice FROM orders o FULL JOIN
- (SELECT o_orderkey * 2 AS k, CAST(0 AS DOUBLE) AS v FROM orders WHERE o_orderkey % 7 = 0) e ON o.o_orderkey = e.k""")
-def upsert_cells(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    e = o.filter("o_orderkey % 7 = 0").select((F.col("o_orderkey") * 2).alias("k"), F.lit(0.0).alias("v"))
-    return o.join(e, o.o_orderkey == e.k, "full").select(F.coalesce("o_orderkey", "k").alias("o_orderkey"), F.coalesce("v", "o_totalprice").alias("o_totalprice"))
-
-
-@query("""SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 25 AS k, r_name AS name FROM region""")
-def append_rows(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    return n.unionByName(table(spark, sf_dir, "region").select((F.col("r_regionkey") + 25).alias("k"), F.col("r_name").alias("name")))
-
-
-@query("""SELECT n_nationkey AS row, 0 AS col, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_nationkey, 1, n_name FROM nation UNION ALL SELECT n_nationkey, 2, CAST(n_regionkey AS VARCHAR) FROM nation""")
-def sheet_cells_long(spark, sf_dir):
-    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS row", "stack(3, 0, CAST(n_nationkey AS STRING), 1, n_name, 2, CAST(n_regionkey AS STRING)) AS (col, value)")
-
-
-@query("""SELECT source, COUNT(*) FILTER (WHERE text IS NOT NULL AND text <> '') AS filled, COUNT(*) AS cells FROM documents GROUP BY 1""")
-def cell_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("text").isNotNull() & (F.col("text") != "")).alias("filled"), F.count(F.lit(1)).alias("cells"))
-
-
-@query("""SELECT event_id, CASE WHEN regexp_full_match(event_type, '-?(0|[1-9][0-9]*)') THEN TRY_CAST(event_type AS DOUBLE) END AS typed FROM events""")
-def csv_field_typing(spark, sf_dir):
-    from quadrille.functions.csv_text import typed_number
-
-    return table(spark, sf_dir, "events").select("event_id", typed_number(F.col("event_type")).alias("typed"))
