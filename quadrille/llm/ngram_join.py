@@ -12,8 +12,8 @@ shared prefix shingles a similar pair has at least; so unlike sets of one freque
 
 Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs. First each node
 is verified against one pivot of a shared shingle, the middle of its family; what links is one component. Then only
-pairs between components matter. Shingles of few nodes give such pairs directly. The nodes of a shingle that many share
-are compared by what tells them from its pivot p: with D = x xor p, two sets are similar if and only if D and D' share at
+pairs between components matter. Shingles of few nodes, and of few nodes of similar size, give such pairs directly. The
+other nodes of a shingle that many share are compared by what tells them from its pivot p: with D = x xor p, two sets are similar if and only if D and D' share at
 least t = (7(|D| + |D'|) - |x| - |y|) / 14 shingles. If x does not link with p, t is positive for every y, so the
 differences are joined on their prefixes in turn, by bands of 7|D| - |x|; the random edits of a family's members
 are in no other difference, and no pair comes of them. So no link between components is lost. Components are found by large-star and
@@ -43,8 +43,8 @@ from quadrille.llm.common import materialise, mix, release, shingle_hashes, word
 BITS, SEGMENT = 20, 1024
 BROADCAST_NODES = 500_000
 MOST_MATCHES = 4
-#: Nodes of a shingle that are paired directly; so each posting meets 31 others at most.
-FEW = 32
+#: Nodes of a shingle that are paired directly; so each posting meets 15 others at most.
+FEW = 16
 #: A shingle with more postings than this is dealt to many tasks.
 HOT_POSTINGS = 50_000
 DIFFERENCES = "a long, b long, key long, bands long, n int, d int, pos int"
@@ -288,12 +288,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sizes = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token")
     sizes = sizes.agg(F.sum("size").alias("g"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
     mixed = materialise(labelled.join(sizes.filter("comps > 1").select("token", "main", "g"), "token"), "mixed")
-    few = mixed.filter(F.col("g") <= FEW)
-    pairs = _enough(few.filter("comp <> main").alias("a").join(few.alias("b"), "token").filter("b.comp = b.main or a.node < b.node"), "a.", "b.", unordered=True).select("a", "b")
-
-    many = mixed.filter(F.col("g") > FEW)
-    tops = many.groupBy("token").agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("a"))
-    groups = materialise(many.join(tops, "token").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "groups")
+    # the nodes of a shingle that many share meet by bands of sizes: sets in similar pairs are of one band or the next
+    wide = mixed.filter(F.col("g") > FEW).withColumn("own", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1).cast("int")).withColumn("band", F.explode(F.array("own", F.col("own") + 1))).drop("g", "main")
+    sizes = wide.groupBy("token", "band", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("token", "band")
+    sizes = sizes.agg(F.sum("size").alias("g"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    wide = wide.join(sizes.filter("comps > 1").drop("comps"), ["token", "band"])
+    narrow = mixed.filter(F.col("g") <= FEW).withColumn("own", F.lit(0)).withColumn("band", F.lit(0))
+    banded = materialise(narrow.unionByName(wide), "banded")
+    few, many = banded.filter(F.col("g") <= FEW), banded.filter(F.col("g") > FEW)
+    met = few.filter("comp <> main").alias("a").join(few.alias("b"), ["token", "band"]).filter("band = greatest(a.own, b.own) and (b.comp = b.main or a.node < b.node)")
+    pairs = _enough(met, "a.", "b.", unordered=True).select("a", "b")
+    tops = many.groupBy("token", "band").agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("a"))
+    groups = materialise(many.join(tops, ["token", "band"]).select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "groups")
     rows, used = _beside(docs, groups, "groups")
     rows = materialise(rows.mapInArrow(_differences(shared), DIFFERENCES), "differences")
     links = links.union(rows.filter("key is null").select("a", "b").distinct())
@@ -310,7 +316,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = materialise(pairs.distinct(), "pairs")
     links = links.union(verify_pairs(docs, pairs, "cross"))
     comp = materialise(components(links), "components")
-    release(profile, found, mixed, best, groups, *used, rows, keyed, pairs)
+    release(profile, found, mixed, banded, best, groups, *used, rows, keyed, pairs)
     out = known.join(comp, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
