@@ -1,8 +1,7 @@
 """Workbooks (.xlsx) as a Spark data source and sink.
 
 Reading: one partition a file and sheet; each yields cells in long form, as read from the sheet's XML by a streaming
-parser. Writing: each task writes the XML of its rows as a deflated fragment that ends on a full flush, with its length
-and CRC-32; the commit joins the fragments to one part without inflating them and combines the checksums.
+parser. Without sheetName the first sheet is read. Writing: each task writes its rows' XML (quadrille.sources.fragments).
 
     register(spark)
     spark.read.format("xlsx").option("sheetName", "Data").load("/books/*.xlsx")
@@ -11,26 +10,26 @@ and CRC-32; the commit joins the fragments to one part without inflating them an
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 import glob
+import itertools
 import math
 import os
 import re
-import struct
-import uuid
 import zipfile
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree.ElementTree import iterparse, parse
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quadrille.functions.dates import DATE_FORMAT_IDS, datetime_to_serial, is_date_format, iso, serial_to_datetime
-from quadrille.functions.formula import column_letters, column_number
-from quadrille.functions.refs import shift_formula
+from quadrille.functions.refs import absolute, column_letters, column_number, parse_ref, shift_formula
+from quadrille.sources.fragments import FragmentWriter
 
 CELLS = "file string, sheet string, row int, col int, kind string, num double, str string, bool boolean, err string, formula string"
 MAX_ROWS, MAX_COLS, MAX_TEXT = 1_048_576, 16_384, 32_767
@@ -105,26 +104,36 @@ class Workbook:
                         out.add(k)
         return out
 
-    def rows(self, part: str) -> Iterator[tuple[int, list[tuple]]]:
-        """Row number, and (col from 0, kind, num, str, bool, err, formula) of each cell."""
+    def rows(self, part: str, most: int | None = None) -> Iterator[tuple[int, list[tuple]]]:
+        """Row number, and (col from 0, kind, num, str, bool, err, formula) of each cell. Read rows are taken out of
+        the tree, so memory holds one row; most bounds the bytes of the part."""
         strings, dates, last = self.strings(), self.date_styles(), 0
         anchors: dict[str, tuple[str, int, int]] = {}
+        if most is not None and self.zip.getinfo(self.names[part.lower()]).file_size > most:
+            raise ValueError(f"{part} has more than {most} bytes")
         with self.open(part) as f:
-            for _, e in iterparse(f):
-                if _local(e.tag) != "row":
+            parents: list = []
+            for event, e in iterparse(f, ("start", "end")):
+                if event == "start":
+                    parents.append(e)
                     continue
-                last = int(e.get("r") or last + 1)
+                parents.pop()
+                if not e.tag.endswith("row") or _local(e.tag) != "row":
+                    continue
+                given = e.get("r") or ""
+                last = int(given) if given.isascii() and given.isdigit() and int(given) > 0 else last + 1
                 cells, place = [], -1
                 for c in e:
                     if _local(c.tag) == "c":
-                        ref = c.get("r")
-                        place = column_number(re.sub(r"[^A-Za-z]", "", ref)) - 1 if ref else place + 1
+                        letters = re.match("[A-Za-z]*", c.get("r") or "")[0]
+                        place = column_number(letters) - 1 if letters else place + 1
                         if place >= MAX_COLS:
                             raise ValueError(f"column {place + 1} is beyond the sheet")
                         *cell, formula = self._cell(c, strings, dates)
                         cells.append((place, *cell, self._shared(c, formula, last, place, anchors)))
                 yield last, cells
-                e.clear()
+                if parents:
+                    parents[-1].clear()
 
     def _shared(self, c, formula: str | None, row: int, col: int, anchors: dict[str, tuple[str, int, int]]) -> str | None:
         """The formula of a cell; a follower of a shared formula has its anchor's, moved to its place."""
@@ -157,21 +166,34 @@ class Workbook:
         if value is None or value == "":
             return "z", None, None, None, None, formula
         if kind == "s":
-            k = int(value)
+            k = int(value) if value.strip().isdigit() else -1
             return ("s", None, strings[k], None, None, formula) if 0 <= k < len(strings) else ("z", None, None, None, None, formula)
         if kind == "b":
             return "b", None, None, value.strip() in ("1", "true"), None, formula
         if kind == "e":
             return "e", None, None, None, value, formula
+        if kind == "d":
+            when = _iso_moment(value.strip())
+            return ("d", datetime_to_serial(when, self.date1904), iso(when), None, None, formula) if when else ("s", None, value, None, None, formula)
         try:
             x = float(value) + 0.0
         except ValueError:
             return "s", None, value, None, None, formula
-        if int(c.get("s") or 0) in dates:
+        style = c.get("s") or "0"
+        if style.isdigit() and int(style) in dates:
             return "d", x, iso(serial_to_datetime(x, self.date1904)), None, None, formula
         return "n", x, None, None, None, formula
 
 
+def _iso_moment(text: str) -> dt.datetime | None:
+    """A cell's ISO date; without a zone it is UTC."""
+    try:
+        when = dt.datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    return when.astimezone(dt.timezone.utc).replace(tzinfo=None) if when.tzinfo else when
+
+
 @dataclass
 class _Sheet(InputPartition):
     file: str
@@ -180,116 +202,196 @@ class _Sheet(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """sheetName names the sheet; without it the first one is read, and with sheets=all each."""
+
     def __init__(self, options):
-        self.path, self.only = options["path"].removeprefix("file:"), options.get("sheetname")
+        self.path, self.only, self.all = options["path"].removeprefix("file:"), options.get("sheetname"), options.get("sheets") == "all"
+        self.most = int(options["maxuncompressedbytes"]) if options.get("maxuncompressedbytes") else None
 
     def partitions(self):
         out = []
         for f in sorted(glob.glob(self.path)):
-            out += [_Sheet(f, name, part) for name, part in Workbook(f).sheets if self.only in (None, name)]
+            sheets = Workbook(f).sheets
+            out += [_Sheet(f, name, part) for name, part in (sheets if self.all else [s for s in sheets if s[0] == self.only] if self.only else sheets[:1])]
         return out
 
     def read(self, partition):
-        for row, cells in Workbook(partition.file).rows(partition.part):
-            for col, kind, num, text, flag, err, formula in cells:
-                yield partition.file, partition.sheet, row, col, kind, num, text, flag, err, formula
-
-
-def crc_combine(a: int, b: int, length: int) -> int:
-    """The CRC-32 of two stretches joined, from theirs and the second's length: a is shifted by length zero bytes in
-    GF(2), by squaring the operator of one zero bit."""
-
-    def times(m: list[int], v: int) -> int:
-        out = 0
-        for row in m:
-            if not v:
-                break
-            if v & 1:
-                out ^= row
-            v >>= 1
-        return out
+        yield from cell_batches((partition.file, partition.sheet, row, *cell) for row, cells in Workbook(partition.file).rows(partition.part, self.most) for cell in cells)
 
-    op = [0xEDB88320, *(1 << k for k in range(31))]
-    bits = length * 8
-    while bits:
-        if bits & 1:
-            a = times(op, a)
-        op = [times(op, x) for x in op]
-        bits >>= 1
-    return a ^ b
 
+_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
 
-def cell_xml(ref: str, value) -> str:
-    import datetime as dt
-    import decimal
 
+def cell_batches(cells: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Cells in the columns of CELLS, as Arrow batches."""
+    names = [x.split()[0] for x in CELLS.split(", ")]
+    while some := list(itertools.islice(cells, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _KINDS)], names=names)
+
+
+def cell_xml(ref: str, value) -> str:
     if value is None:
         return ""
     if isinstance(value, bool):
         return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (int, float, decimal.Decimal)):
-        return f'<c r="{ref}"><v>{value!r}</v></c>' if isinstance(value, int) or math.isfinite(value) and not isinstance(value, decimal.Decimal) else f'<c r="{ref}"><v>{value}</v></c>' if isinstance(value, decimal.Decimal) else f'<c r="{ref}" t="e"><v>#NUM!</v></c>'
+        if isinstance(value, float) and not math.isfinite(value):
+            return f'<c r="{ref}" t="e"><v>#NUM!</v></c>'
+        return f'<c r="{ref}"><v>{value}</v></c>'
     if isinstance(value, dt.date):
         when = value if isinstance(value, dt.datetime) else dt.datetime(value.year, value.month, value.day)
-        return f'<c r="{ref}" s="1"><v>{datetime_to_serial(when.replace(tzinfo=None))!r}</v></c>'
-    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", str(value))
-    if len(text.encode("utf-16-le")) // 2 > MAX_TEXT:
-        raise ValueError(f"{ref}: a cell holds {MAX_TEXT} characters at most")
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r]", lambda m: f"_x{ord(m[0]):04X}_", text)
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
+        serial = datetime_to_serial(when.replace(tzinfo=None))
+        return f'<c r="{ref}" s="{2 if serial == int(serial) else 1}"><v>{serial!r}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_escaped(str(value))}</t></is></c>'
+
+
+def _escaped(value: str) -> str:
+    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", value)
+    if len(text) > MAX_TEXT // 2 and len(text.encode("utf-16-le")) // 2 > MAX_TEXT:
+        raise ValueError(f"a cell holds {MAX_TEXT} characters at most")
+    return escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", text))
+
+
+class _Writer(FragmentWriter):
+    """The file has one sheet, with the column names as its first row. Options, those with structure as JSON: sheetName,
+    widths ([12, null, 30]), freeze ("B2"), merges (["A1:B1"]), autoFilter ("A1:C9"), links ({"A2": "https://..."} or
+    "#Sheet!A1"), validations ([{"range", "type", "operator", "formula1", "formula2", "list"}]), conditionalFormats
+    ([{"range", "xml"}]), protect (a password), printArea, landscape, names ({"Rate": "0.2"}), title, creator."""
+
+    def row_xml(self, number, row):
+        cells = "".join([cell_xml(f"{letters}{number}", row[name]) for letters, name in self.columns()])
+        return f'<row r="{number}">{cells}</row>'
+
+    def columns(self):
+        if not hasattr(self, "_columns"):
+            if len(self.names) > MAX_COLS:
+                raise ValueError(f"a sheet has {MAX_COLS} columns at most")
+            self._columns = [(column_letters(k), n) for k, n in enumerate(self.names, 1)]
+        return self._columns
+
+    def book(self, last):
+        check_sheet_name(self.sheet)
+        extra, rels = self._after_rows()
+        head = f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}" xmlns:r="{_REL}">{self._before_rows()}<sheetData><row r="1">' + "".join(cell_xml(f"{k}1", n) for k, n in self.columns()) + "</row>"
+        names = dict(self.option("names") or {})
+        if self.option("printArea"):
+            names["_xlnm.Print_Area"] = f"{_sheet_ref(self.sheet)}!{absolute(self.option('printArea'))}"
+        if self.option("autoFilter"):
+            names["_xlnm._FilterDatabase"] = f"{_sheet_ref(self.sheet)}!{absolute(self.option('autoFilter'))}"
+        parts = _fixed_parts(self.sheet, names, self.option("title"), self.option("creator"))
+        if rels:
+            parts["xl/worksheets/_rels/sheet1.xml.rels"] = f'<Relationships xmlns="{_PKG}/relationships">{rels}</Relationships>'
+        return [(n, x.encode()) for n, x in parts.items()], "xl/worksheets/sheet1.xml", head.encode(), f"</sheetData>{extra}</worksheet>".encode(), []
+
+    def _before_rows(self):
+        out = ""
+        if freeze := self.option("freeze"):
+            box = parse_ref(freeze)
+            if box is None or box.b is not None:
+                raise ValueError(f"freeze takes a cell, not {freeze!r}")
+            col, row = box.a.col - 1, box.a.row - 1
+            pane = "bottomRight" if col and row else "bottomLeft" if row else "topRight"
+            out += f'<sheetViews><sheetView workbookViewId="0"><pane{f" xSplit=\"{col}\"" if col else ""}{f" ySplit=\"{row}\"" if row else ""} topLeftCell="{freeze}" activePane="{pane}" state="frozen"/></sheetView></sheetViews>'
+        if widths := self.option("widths"):
+            out += "<cols>" + "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, w in enumerate(widths, 1) if w is not None) + "</cols>"
+        return out
 
-@dataclass
-class _Fragment(WriterCommitMessage):
-    path: str
-    first: tuple
-    rows: int
-    size: int
-    crc: int
-
-
-class _Writer(DataSourceWriter):
-    """Rows keep the order of the partitions; each task numbers its rows by a column row_number if there is one."""
-
-    def __init__(self, options, schema: StructType):
-        self.path, self.sheet = options["path"].removeprefix("file:"), options.get("sheetname", "Sheet1")
-        self.names = [f.name for f in schema.fields if f.name != "row_number"]
-        self.key = "row_number" in schema.names
-        self.stage = f"{self.path}.parts-{uuid.uuid4().hex}"
-
-    def write(self, iterator):
-        from pyspark import TaskContext
-
-        os.makedirs(self.stage, exist_ok=True)
-        path = f"{self.stage}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
-        packer, size, crc, n, first = zlib.compressobj(6, zlib.DEFLATED, -15), 0, 0, 0, None
-        with open(path, "wb") as f:
-            for row in iterator:
-                if not self.key:
-                    raise ValueError("a sheet's rows come by a column row_number (from 1)")
-                number = int(row["row_number"]) + 1
-                if number > MAX_ROWS:
-                    raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
-                first = number if first is None else first
-                xml = f'<row r="{number}">' + "".join(cell_xml(f"{column_letters(k)}{number}", row[c]) for k, c in enumerate(self.names, 1)) + "</row>"
-                raw = xml.encode()
-                f.write(packer.compress(raw))
-                size, crc, n = size + len(raw), zlib.crc32(raw, crc), n + 1
-            f.write(packer.flush(zlib.Z_FULL_FLUSH))
-        return _Fragment(path, (first or 0,), n, size, crc)
-
-    def commit(self, messages):
-        parts = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first)
-        head = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1">' + "".join(cell_xml(f"{column_letters(k)}1", c) for k, c in enumerate(self.names, 1)) + "</row>"
-        _write_book(self.path, self.sheet, head.encode(), parts, b"</sheetData></worksheet>")
-        self.abort(messages)
-
-    def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
-        if os.path.isdir(self.stage):
-            os.rmdir(self.stage)
+    def _after_rows(self):
+        """What follows the rows, in the order that the format asks for, and the sheet's relationships."""
+        out, rels = "", ""
+        if (password := self.option("protect")) is not None:
+            out += f'<sheetProtection password="{password_hash(str(password))}" sheet="1" objects="1" scenarios="1"/>'
+        if self.option("autoFilter"):
+            out += f"<autoFilter ref={_quoted(self.option('autoFilter'))}/>"
+        if merges := self.option("merges"):
+            boxes = [_box(m) for m in merges]
+            if any(a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3] for k, a in enumerate(boxes) for b in boxes[:k]):
+                raise ValueError("merges overlap")
+            out += f'<mergeCells count="{len(merges)}">' + "".join(f"<mergeCell ref={_quoted(m)}/>" for m in merges) + "</mergeCells>"
+        for k, rule in enumerate(self.option("conditionalFormats") or [], 1):
+            out += f"<conditionalFormatting sqref={_quoted(rule['range'])}>{rule_xml(rule, k)}</conditionalFormatting>"
+        if checks := self.option("validations"):
+            out += f'<dataValidations count="{len(checks)}">' + "".join(map(_validation_xml, checks)) + "</dataValidations>"
+        if links := self.option("links"):
+            out += "<hyperlinks>"
+            for k, (ref, target) in enumerate(links.items(), 1):
+                if target.startswith("#"):
+                    out += f"<hyperlink ref={_quoted(ref)} location={_quoted(target[1:])}/>"
+                else:
+                    out += f'<hyperlink ref={_quoted(ref)} r:id="rId{k}"/>'
+                    rels += f'<Relationship Id="rId{k}" Type="{_REL}/hyperlink" Target={_quoted(target)} TargetMode="External"/>'
+            out += "</hyperlinks>"
+        if self.option("landscape"):
+            out += '<pageSetup orientation="landscape"/>'
+        return out, rels
+
+
+def check_sheet_name(name: str) -> None:
+    if not re.fullmatch(r"[^\[\]:*?/\\]{1,31}", name) or name[0] == "'" or name[-1] == "'":
+        raise ValueError(f"sheet name {name!r} can't be used")
+
+
+def _sheet_ref(name: str) -> str:
+    return name if re.fullmatch(r"[^\W\d]\w*", name) else "'" + name.replace("'", "''") + "'"
+
+
+def _box(text: str) -> tuple[int, int, int, int]:
+    ref = parse_ref(text)
+    if ref is None or ref.a.col is None or ref.a.row is None:
+        raise ValueError(f"{text!r} is no range")
+    b = ref.b or ref.a
+    return min(ref.a.row, b.row), min(ref.a.col, b.col), max(ref.a.row, b.row), max(ref.a.col, b.col)
+
+
+def password_hash(password: str) -> str:
+    """The sheet hash of quadrille.functions.text.sheet_password, for a writer's option."""
+    h = 0
+    for c in reversed(password):
+        h = (h ^ ord(c)) << 1
+        h = (h & 0x7FFF) | (h >> 15)
+    return f"{h ^ len(password) ^ 0xCE4B:X}"
+
+
+def _validation_xml(v: dict) -> str:
+    first = v.get("formula1")
+    if v.get("list") is not None:
+        first = '"' + ",".join(map(str, v["list"])).replace('"', '""') + '"'
+        if len(first) > 257:
+            raise ValueError("a list of values has 255 characters at most")
+    formulas = "".join(f"<formula{k}>{escape(str(f).removeprefix('='))}</formula{k}>" for k, f in ((1, first), (2, v.get("formula2"))) if f is not None)
+    operator = f" operator={_quoted(v['operator'])}" if v.get("operator") else ""
+    return f"<dataValidation type={_quoted(v['type'])}{operator} allowBlank=\"{int(v.get('allowBlank', True))}\" sqref={_quoted(v['range'])}>{formulas}</dataValidation>"
+
+
+def rule_xml(rule: dict, priority: int) -> str:
+    """A conditional format: type and what that type takes (operator, formulas, rank, percent, bottom, text, colors,
+    icons, low, high), as quadrille.operators.rules evaluates it."""
+    kind, top_left = rule["type"], rule["range"].partition(":")[0]
+    flag = lambda name: f' {name}="1"' if rule.get(name) else ""
+    attributes, body = "", "".join(f"<formula>{escape(str(f).removeprefix('='))}</formula>" for f in rule.get("formulas", []))
+    if kind == "cellIs":
+        attributes = f" operator={_quoted(rule['operator'])}"
+    elif kind == "top10":
+        attributes = f' rank="{rule["rank"]}"' + flag("percent") + flag("bottom")
+    elif kind == "aboveAverage":
+        attributes = ' aboveAverage="0"' if rule.get("below") else ""
+    elif kind in ("containsText", "notContainsText", "beginsWith", "endsWith"):
+        text = '"' + rule["text"].replace('"', '""') + '"'
+        test = {
+            "containsText": f"NOT(ISERROR(SEARCH({text},{top_left})))", "notContainsText": f"ISERROR(SEARCH({text},{top_left}))",
+            "beginsWith": f"LEFT({top_left},LEN({text}))={text}", "endsWith": f"RIGHT({top_left},LEN({text}))={text}",
+        }[kind]
+        attributes, body = f" operator={_quoted({'notContainsText': 'notContains'}.get(kind, kind))} text={_quoted(rule['text'])}", f"<formula>{escape(test)}</formula>"
+    elif kind == "dataBar":
+        ends = [f'<cfvo type="num" val="{rule[e]}"/>' if rule.get(e) is not None else f'<cfvo type="{o}"/>' for e, o in (("low", "min"), ("high", "max"))]
+        body = f"<dataBar>{''.join(ends)}<color rgb={_quoted(rule['color'])}/></dataBar>"
+    elif kind == "colorScale":
+        stops = ['<cfvo type="min"/>', *(['<cfvo type="percentile" val="50"/>'] if len(rule["colors"]) == 3 else []), '<cfvo type="max"/>']
+        body = f"<colorScale>{''.join(stops)}{''.join(f'<color rgb={_quoted(c)}/>' for c in rule['colors'])}</colorScale>"
+    elif kind == "iconSet":
+        n = int(rule["icons"][0])
+        body = f"<iconSet iconSet={_quoted(rule['icons'])}{flag('reverse')}>" + "".join(f'<cfvo type="percent" val="{round(100 * k / n)}"/>' for k in range(n)) + "</iconSet>"
+    return f'<cfRule type={_quoted(kind)} priority="{priority}"{attributes}>{body}</cfRule>'
 
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -297,64 +399,22 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006"
 
 
-def _fixed_parts(sheet: str) -> dict[str, str]:
+def _fixed_parts(sheet: str, names: dict[str, str] | None = None, title: str | None = None, creator: str | None = None) -> dict[str, str]:
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    return {
-        "[Content_Types].xml": f'<Types xmlns="{_PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name={_quoted(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>',
+    defined = "".join(f'<definedName name={_quoted(n)}{" localSheetId=\"0\"" if n.startswith("_xlnm") else ""}>{escape(str(f).removeprefix("="))}</definedName>' for n, f in (names or {}).items())
+    out = {
+        "[Content_Types].xml": f'<Types xmlns="{_PKG}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/><Override PartName="/docProps/core.xml" ContentType="application/vnd.openxmlformats-package.core-properties+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/><Relationship Id="rId2" Type="{_PKG}/relationships/metadata/core-properties" Target="docProps/core.xml"/></Relationships>',
+        "docProps/core.xml": f'<cp:coreProperties xmlns:cp="{_PKG}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/">' + (f"<dc:title>{escape(title)}</dc:title>" if title else "") + (f"<dc:creator>{escape(creator)}</dc:creator>" if creator else "") + "</cp:coreProperties>",
+        "xl/workbook.xml": f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets><sheet name={_quoted(sheet)} sheetId="1" r:id="rId1"/></sheets>{f"<definedNames>{defined}</definedNames>" if defined else ""}</workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PKG}/relationships"><Relationship Id="rId1" Type="{_REL}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_REL}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="22" applyNumberFormat="1"/></cellXfs></styleSheet>',
+        "xl/styles.xml": f'<styleSheet xmlns="{_MAIN}"><numFmts count="2"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd\\ hh:mm:ss"/><numFmt numFmtId="165" formatCode="yyyy\\-mm\\-dd"/></numFmts><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="3"><xf numFmtId="0"/><xf numFmtId="164" applyNumberFormat="1"/><xf numFmtId="165" applyNumberFormat="1"/></cellXfs></styleSheet>',
     }
+    return out
 
 
 def _quoted(text: str) -> str:
-    return '"' + escape(text, {'"': "&quot;"}) + '"'
-
-
-def _write_book(path: str, sheet: str, head: bytes, parts: list[_Fragment], tail: bytes) -> None:
-    if os.path.exists(path):
-        os.remove(path)
-    entries = []
-    with open(path, "wb") as f:
-
-        def entry(name: str, blobs: Iterator[bytes], crc: int, size: int) -> None:
-            at = f.tell()
-            f.write(struct.pack("<4s5H3I2H", b"PK\3\4", 20, 0, 8, 0, 33, crc, 0, size, len(name), 0) + name.encode())
-            begun = f.tell()
-            for b in blobs:
-                f.write(b)
-            end = f.tell()
-            f.seek(at + 18)
-            f.write(struct.pack("<I", end - begun))
-            f.seek(end)
-            entries.append((name, crc, end - begun, size, at))
-
-        def deflated(raw: bytes, last: bool) -> bytes:
-            p = zlib.compressobj(6, zlib.DEFLATED, -15)
-            return p.compress(raw) + p.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
-
-        for name, xml in _fixed_parts(sheet).items():
-            raw = xml.encode()
-            entry(name, iter([deflated(raw, True)]), zlib.crc32(raw), len(raw))
-
-        def pieces() -> Iterator[bytes]:
-            yield deflated(head, False)
-            for p in parts:
-                with open(p.path, "rb") as g:
-                    while block := g.read(1 << 20):
-                        yield block
-            yield deflated(tail, True)
-
-        crc, size = zlib.crc32(head), len(head)
-        for c, n in [*((p.crc, p.size) for p in parts), (zlib.crc32(tail), len(tail))]:
-            crc, size = crc_combine(crc, c, n), size + n
-        entry("xl/worksheets/sheet1.xml", pieces(), crc, size)
-        begun = f.tell()
-        for name, c, packed, n, at in entries:
-            f.write(struct.pack("<4s6H3I5H2I", b"PK\1\2", 20, 20, 0, 8, 0, 33, c, packed, n, len(name), 0, 0, 0, 0, 0, at) + name.encode())
-        end = f.tell()
-        f.write(struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(entries), len(entries), end - begun, begun, 0))
+    return '"' + escape(text, {'"': "&quot;", "\n": "&#10;"}) + '"'
 
 
 class XlsxSource(DataSource):
@@ -369,7 +429,7 @@ class XlsxSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options, schema)
+        return _Writer(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ import zlib
 import pytest
 
 from quadrille.functions import csv_text, dates
-from quadrille.sources import xlsx
+from quadrille.sources import fragments, xlsx
 
 
 def test_serials():
@@ -54,7 +54,7 @@ def test_crc_combine():
     r = random.Random(0)
     for _ in range(20):
         a, b = r.randbytes(r.randint(0, 99)), r.randbytes(r.randint(0, 99))
-        assert xlsx.crc_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+        assert fragments.crc_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
 def test_xlsx_round_trip(spark, tmp_path):
@@ -84,3 +84,51 @@ def test_xlsx_shared_formulas(tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{xlsx._MAIN}"><sheetData><row r="1"><c r="C1"><f t="shared" ref="C1:D3" si="0">A1*$B$1</f><v>1</v></c><c r="D1"><f t="shared" si="0"/><v>2</v></c></row><row r="3"><c r="C3"><f t="shared" si="0"/></c><c r="D3"><f>A1</f></c><c r="E3"><f t="shared" si="9"/></c></row></sheetData></worksheet>')
     cells = {(row, c[0]): c[-1] for row, found in xlsx.Workbook(path).rows("xl/worksheets/sheet1.xml") for c in found}
     assert cells == {(1, 2): "A1*$B$1", (1, 3): "B1*$B$1", (3, 2): "A3*$B$1", (3, 3): "A1", (3, 4): None}
+
+
+def test_xlsx_sink_is_safe(spark, tmp_path):
+    """Rows that interleave, an existing file and a failed task leave what was there, and no fragments."""
+    import os
+
+    from pyspark.errors import PySparkException
+
+    xlsx.register(spark)
+    path = f"{tmp_path}/book.xlsx"
+    good = spark.range(1, 40, numPartitions=3).selectExpr("cast(id as int) row_number", "id")
+    good.write.format("xlsx").mode("append").save(path)
+    before = open(path, "rb").read()
+    mixed = spark.createDataFrame([(1, 1), (3, 3)], "row_number int, id long").coalesce(1).union(spark.createDataFrame([(2, 2)], "row_number int, id long").coalesce(1))
+    bad = [mixed, good.selectExpr("row_number", "repeat('x', 40000) id"), good.repartition(1).orderBy(good.row_number.desc())]
+    for df in bad:
+        with pytest.raises(PySparkException):
+            df.write.format("xlsx").mode("overwrite").save(path)
+    with pytest.raises(PySparkException):
+        good.write.format("xlsx").mode("overwrite").option("merges", '["A1:B2", "B2:C3"]').save(path)
+    assert open(path, "rb").read() == before and os.listdir(tmp_path) == ["book.xlsx"]
+
+
+def test_xlsx_odd_cells(tmp_path):
+    """Dates as text, row and string numbers that are none, and the byte limit."""
+    import zipfile
+
+    path = f"{tmp_path}/odd.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, xml in xlsx._fixed_parts("S").items():
+            z.writestr(name, xml)
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{xlsx._MAIN}"><sheetData><row r="x"><c t="d"><v>2021-05-03T06:00:00+06:00</v></c><c t="d"><v>soon</v></c></row><row><c r="C2" t="s"><v>what</v></c><c s="no"><v>5</v></c></row></sheetData></worksheet>')
+    book = xlsx.Workbook(path)
+    cells = [(row, *c[:4]) for row, found in book.rows("xl/worksheets/sheet1.xml") for c in found]
+    assert cells == [(1, 0, "d", 44319.0, "2021-05-03T00:00:00.000Z"), (1, 1, "s", None, "soon"), (2, 2, "z", None, None), (2, 3, "n", 5.0, None)]
+    with pytest.raises(ValueError):
+        list(book.rows("xl/worksheets/sheet1.xml", most=10))
+
+
+def test_csv_blocks():
+    import io
+
+    from quadrille.sources.csv import records
+
+    text = 'a,"x\ny"\r\nb,"""q""\n"\n\nlast'
+    for size in range(1, len(text) + 2):
+        pieces = list(records(io.StringIO(text, newline=""), size))
+        assert "".join(pieces) == text and [r for p in pieces for r in csv_text.parse_csv(p)] == [["a", "x\ny"], ["b", '"q"\n'], [], ["last"]]
