@@ -10,7 +10,8 @@ be undone. The rows of a conversation are sorted within a partition and streamed
 which is one output row.
 
 Defined cases: null text and null role are empty; rows come by turn, then role and text (null turns first); a null
-conv_id is a conversation; repeated rows are repeated turns; an empty table gives none.
+conv_id is a conversation; repeated rows are repeated turns; an empty table gives none; extra columns are not read;
+very long texts are read back in one pass, in memory of a few times their size.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ OPEN, CLOSE = "### ", " </turn>\n"
 _IN_TEXT = re.compile(r"(\\|###|</turn>)")
 _IN_ROLE = re.compile(r"(\\|###|</turn>|:)")
 _BACK = re.compile(r"\\(\\|###|</turn>|:)")
-#: A turn: the role up to the first bare colon, the text up to the first bare mark.
-_TURN = re.compile(r"### ((?:\\(?:\\|###|</turn>|:)|[^\\:])*): ((?:\\(?:\\|###|</turn>)|[^\\<]|<(?!/turn>))*) </turn>\n")
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -47,14 +46,28 @@ def format_turn(role: str, text: str) -> tuple[str, int]:
     return head + escape(text) + CLOSE, len(head)
 
 
+def _bare(text: str, mark: str, at: int) -> int:
+    """Where the next mark without a backslash of its own begins; -1 if there is none. Looks at each mark once."""
+    while (at := text.find(mark, at)) >= 0:
+        run = at
+        while run and text[run - 1] == "\\":
+            run -= 1
+        if (at - run) % 2 == 0:
+            return at
+        at += 1
+    return -1
+
+
 def parse_turns(text: str) -> list[tuple[str, str]]:
     """The turns of a formatted text; an error if any part of it is no turn."""
     out, at = [], 0
     while at < len(text):
-        if not (m := _TURN.match(text, at)):
+        colon = _bare(text, ": ", at + len(OPEN))
+        end = _bare(text, CLOSE[1:-1], colon + 2) if colon >= 0 else -1
+        if not text.startswith(OPEN, at) or end < 0 or text[end - 1 : end + len(CLOSE) - 1] != CLOSE or end - 1 < colon + 2:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(text[at + len(OPEN) : colon]), unescape(text[colon + 2 : end - 1])))
+        at = end + len(CLOSE) - 1
     return out
 
 

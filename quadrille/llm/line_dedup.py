@@ -8,7 +8,8 @@ position. The keys of a document travel as hashes, its text moves once. No group
 counts are sums, and the frequent keys are broadcast only when their counted number is small.
 
 Defined cases: null and empty text are one empty line; an empty key is never dropped; rows that share
-a doc_id count as one document, those without one as none; rows that share a doc_id, or have none, keep their own texts; extra columns pass through.
+a doc_id count as one document, those without one as none; rows that share a doc_id, or have none, keep their own texts; extra columns pass
+through, but those named like the new ones are replaced; an empty table gives none; a very long text is one row's work.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def _shipped(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with three more columns: kept_text, n_lines and n_dropped."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
+    """docs with three more columns, named by names; columns of docs with these names are replaced."""
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     lines = _exploded(slim)
     rows = lines.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,7 +52,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     frequent = materialise(counted.filter(F.col("_n") >= min_docs).select("_h", "_g"), "frequent-lines")
     per_doc = hits.join(_shipped(frequent), ["_h", "_g"], "left_semi").groupBy("_id").agg(F.collect_set("_h").alias("_drop")).withColumnRenamed("_id", "_of")
     # per_doc grows with the corpus, so it is never broadcast
-    whole = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    whole = docs.select(F.struct(*rest).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     joined = whole.join(per_doc.hint("merge"), F.col("_id").eqNullSafe(F.col("_of")), "left").withColumn("_lines", _lines(F.col("_text")))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~((F.length(line_key(x)) > 0) & F.array_contains(F.col("_drop"), F.xxhash64(line_key(x)))))
@@ -59,7 +61,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", tex
     joined = joined.withColumn("_kept", kept)
     return joined.select(
         "_row.*",
-        F.array_join("_kept", "\n").alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.array_join("_kept", "\n").alias(names[0]),
+        F.size("_lines").cast("long").alias(names[1]),
+        (F.size("_lines") - F.size("_kept")).cast("long").alias(names[2]),
     )

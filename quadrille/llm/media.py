@@ -4,10 +4,11 @@ A payload is stored as 24 x 24 grey frames of 8-bit samples, one intra-coded JPE
 idx1 index. Frames are lossless JPEG (SOF3, predictor 1) with a Huffman table whose codes and extra bits add up to 9
 bits for every sample, so frames are packed and unpacked as whole arrays. Reading parses the RIFF chunks, finds the
 frames by the index, reads each frame's own tables, decodes, and takes histograms; a shot begins where the histogram
-difference exceeds the mean of the differences around it by ``k`` standard deviations.
+difference exceeds the mean of the other differences around it by ``k`` of their standard deviations.
 
-Defined cases: null text is empty and gives one frame of padding; repeated rows are stored each; extra columns are
-not read. Long texts are one file; memory holds a few times its size.
+Defined cases: null text is empty and gives one frame of padding; repeated rows are stored each, equal texts to equal
+bytes; equal differences are no cut; an empty table gives no rows; doc_ids are whole numbers; extra columns are not
+read. A very long text is one file, with all its cuts; memory holds a few times its size.
 """
 
 from __future__ import annotations
@@ -174,9 +175,10 @@ def shots(frames: np.ndarray, k: float = 2.0, window: int = 8) -> tuple[list[tup
     change[1:] = np.abs(np.diff(h, axis=0)).sum(axis=1) / (2.0 * max(1, frames[0].size))
     c1, c2 = np.concatenate([[0.0], np.cumsum(change)]), np.concatenate([[0.0], np.cumsum(change**2)])
     i = np.arange(len(h))
-    a, b = np.maximum(i - window, 0), np.minimum(i + window + 1, len(h))
-    mean = (c1[b] - c1[a]) / (b - a)
-    deviation = np.sqrt(np.maximum((c2[b] - c2[a]) / (b - a) - mean**2, 0))
+    a, b = np.maximum(i - window, 1), np.minimum(i + window + 1, len(h))  # frame 0 has no change before it
+    others = np.maximum(b - a - (i > 0), 1)  # a frame is not compared with itself
+    mean = (c1[b] - c1[a] - change) / others
+    deviation = np.sqrt(np.maximum((c2[b] - c2[a] - change**2) / others - mean**2, 0))
     cuts = [0, *np.flatnonzero((change > mean + k * deviation) & (change > 0.05) & (i > 0)).tolist(), len(h)]
     return list(zip(cuts[:-1], cuts[1:])), change
 
@@ -200,7 +202,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frames = decode_frames(read_avi(media))
             payload = frames.tobytes()
             clips, change = shots(frames)
-            feature = f"frames={len(frames)};clips={len(clips)};cuts={','.join(str(a) for a, _ in clips[1:9])};change={change.mean():.6f};mean={frames.mean():.4f}"
+            feature = f"frames={len(frames)};clips={len(clips)};cuts={','.join(str(a) for a, _ in clips[1:])};change={change.mean():.6f};mean={frames.mean():.4f}"
             rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         cols = list(zip(*rows)) or [()] * len(fields)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.string()) for c, (_, k) in zip(cols, fields)], names=[f for f, _ in fields])

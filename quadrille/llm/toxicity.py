@@ -165,10 +165,10 @@ def fit(labels: list[int], bags: list[list[list[int]]], selected: np.ndarray, ro
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
     from quadrille.llm.common import materialise
 
-    labelled = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_of"), F.col("toxic").cast("int").alias("y"))
+    labelled = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_of")).agg(F.max(F.col("toxic").cast("int")).alias("y"))  # labelled both ways: toxic
     order = [F.xxhash64("_of"), "_of", "y"]
     sample = materialise(
-        labelled.filter("y = 1").orderBy(*order).limit(max_positive).unionByName(labelled.filter("y = 0").orderBy(*order).limit(max_negative)).dropDuplicates(["_of"]), "toxic-sample"
+        labelled.filter("y = 1").orderBy(*order).limit(max_positive).unionByName(labelled.filter("y = 0").orderBy(*order).limit(max_negative)), "toxic-sample"
     )
     # at most max_positive + max_negative rows of 12 bytes
     texts = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_of")).select("y", "text").repartition(8), "toxic-texts")

@@ -153,3 +153,71 @@ def test_differences_lose_no_pair():
         t = max(1, -(-(7 * (d + e) - len(x) - len(y)) // 14))
         assert any(keys[0][k][0] <= d - t and keys[1][k][0] <= e - t for k in keys[0].keys() & keys[1].keys())
     assert met > 100
+
+
+def test_turns_of_marks_and_backslashes():
+    from quadrille.llm.chat import format_turn, parse_turns
+
+    for role, text in [("user", "\\"), ("a: b", "\\### x </turn>\n### user: y </turn>\n"), ("", ""), ("x\\", "\\\\</turn> \\</turn>"), (": ", " </turn>\n"), ("user", "z" * 3_000_000 + "\\")]:
+        twice = format_turn(role, text)[0] * 2
+        assert parse_turns(twice) == [(role, text)] * 2
+    for broken in ("### user: x", "user: x </turn>\n", "### user x </turn>\n"):
+        with pytest.raises(ValueError):
+            parse_turns(broken)
+
+
+def test_stored_frames_by_an_independent_reader():
+    """The AVI is walked chunk by chunk and each frame is decoded bit by bit from its own tables."""
+    from quadrille.llm.media import payload_of, store
+
+    def frame(jpeg):
+        at, codes = 2, {}
+        while jpeg[at + 1] != 0xDA:
+            size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+            if jpeg[at + 1] == 0xC4:
+                counts, symbols, code = jpeg[at + 5 : at + 21], list(jpeg[at + 21 : at + 2 + size]), 0
+                for length, n in enumerate(counts, 1):
+                    for _ in range(n):
+                        codes[format(code, f"0{length}b")] = symbols.pop(0)
+                        code += 1
+                    code <<= 1
+            elif jpeg[at + 1] == 0xC3:
+                height, width = int.from_bytes(jpeg[at + 5 : at + 7], "big"), int.from_bytes(jpeg[at + 7 : at + 9], "big")
+            at += 2 + size
+        at += 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        bits = "".join(format(b, "08b") for b in jpeg[at:-2].replace(b"\xff\0", b"\xff"))
+        out, place = [], 0
+        for k in range(height * width):
+            end = place + 1
+            while bits[place:end] not in codes:
+                end += 1
+            n = codes[bits[place:end]]
+            raw = int(bits[end : end + n] or "0", 2)
+            step = raw if n == 0 or raw >> (n - 1) else raw - (1 << n) + 1
+            before = 128 if k == 0 else out[k - width] if k % width == 0 else out[k - 1]
+            out.append(before + step)
+            place = end + n
+        return bytes(out)
+
+    for text in (None, "abc", "é😀 " * 300, "\0\xff" * 700, "x" * 576):
+        data, frames, at = store(text)[1], [], 12
+        while at < len(data):
+            name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            if name == b"LIST":
+                at += 12
+                continue
+            if name == b"00dc":
+                frames.append(frame(data[at + 8 : at + 8 + size]))
+            at += 8 + size + size % 2
+        assert b"".join(frames) == payload_of(text)[1].tobytes()
+
+
+def test_every_cut_is_found():
+    import numpy as np
+
+    from quadrille.llm.media import shots
+
+    still = np.repeat(np.arange(0, 240, 16), 6).astype(np.uint8)
+    frames = np.repeat(still, 576).reshape(-1, 24, 24)
+    assert [a for a, _ in shots(frames)[0]] == list(range(0, 90, 6))
+    assert [a for a, _ in shots(frames[4:8])[0]] == [0, 2] and shots(frames[:6])[0] == [(0, 6)]

@@ -231,3 +231,33 @@ def test_pipeline_without_labels(spark, hard, tmp_path):
 
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.toxicity(spark, hard, str(tmp_path)).count() == hard.count()
+
+
+def test_clashing_names(spark, tmp_path):
+    """Columns named like those that operators and stages make."""
+    import corpus_pipeline
+    from quadrille.llm.line_dedup import dedup_lines
+
+    line = "the same line"
+    rows = spark.createDataFrame([(k, f"{line}\nown {k} " + " ".join(f"w{k}x{j}" for j in range(20)), "en", "s", 1, "a", 2, "b", 3) for k in range(12)], "doc_id long, text string, lang string, source string, n_chars long, kept_text string, n_lines int, _of string, component_id int")
+    out = dedup_lines(rows)
+    assert sorted(out.columns) == sorted([*rows.columns, "n_dropped"]) and {(r.n_lines, r.n_dropped) for r in out.collect()} == {(2, 1)}
+    spark.createDataFrame([(1, " ".join(f"w7x{j}" for j in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.line_dedup(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns and {(r.kept_text, r.n_lines, line in r.text) for r in kept.collect()} == {("a", 2, False)}
+    assert corpus_pipeline.jaccard_join(spark, rows, str(tmp_path)).count() == 12
+    left = corpus_pipeline.decontamination(spark, rows, str(tmp_path))
+    assert left.columns == rows.columns and {r.doc_id for r in left.collect()} == set(range(12)) - {7}
+    assert corpus_pipeline.jaccard_join(spark, rows.limit(0), str(tmp_path)).count() == 0
+
+
+def test_contradictory_labels(spark):
+    """A document labelled both ways counts as toxic, whatever the order of the rows."""
+    from quadrille.llm.toxicity import score_documents, train
+
+    rows = docs_of(spark, [(k, f"A calm sentence number{k}. " + ("You are scum today. " if k % 3 == 0 else "") + "The end.", "a") for k in range(240)])
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)] + [(k, 0) for k in range(0, 240, 3)], "doc_id long, toxic int")
+    models = [train(rows, t) for t in (labels, labels.orderBy(F.desc("doc_id"), "toxic"))]
+    assert models[0].weights.keys() == models[1].weights.keys() and len(models[0].weights) > 0
+    out = {r.doc_id: r.score for r in score_documents(rows, models[0]).collect()}
+    assert all((out[k] >= 0.3) == (k % 3 == 0) for k in range(240))
