@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 MAX_ROWS = 1_048_576
@@ -56,7 +56,7 @@ class Fragment(WriterCommitMessage):
     crc: int
 
 
-class FragmentWriter(DataSourceWriter):
+class FragmentWriter(DataSourceArrowWriter):
     def __init__(self, options, schema: StructType, overwrite: bool):
         self.options = {k.lower(): v for k, v in dict(options).items()}
         self.path, self.sheet = self.options["path"].removeprefix("file:"), self.options.get("sheetname", "Sheet1")
@@ -76,9 +76,12 @@ class FragmentWriter(DataSourceWriter):
         except ValueError:
             return self.options[name.lower()]
 
-    def row_xml(self, number: int, row) -> str:
+    def row_xml(self, number: int, values: tuple) -> str:
         raise NotImplementedError
 
+    def number_rows(self, numbers: list) -> None:
+        """Called with the numbers of each batch, before its rows are written."""
+
     def book(self, last: int) -> tuple[list[tuple[str, bytes]], str, bytes, bytes, list[tuple[str, bytes]]]:
         """Parts before, the sheet's name, its head and tail, parts after."""
         raise NotImplementedError
@@ -98,17 +101,19 @@ class FragmentWriter(DataSourceWriter):
                 f.write(packer.compress(raw))
                 size, crc = size + len(raw), zlib.crc32(raw, crc)
 
-            for row in iterator:
-                number = int(row["row_number"]) + 1
-                if number <= max(last, 1):
-                    raise ValueError(f"row {number - 1} comes after row {last - 1}: a task's rows must be in order, from 1")
-                if number > MAX_ROWS:
-                    raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
-                first, last = first or number, number
-                held.append(self.row_xml(number, row))
-                if len(held) >= 500:
-                    flush()
-            flush()
+            for batch in iterator:
+                numbers = batch.column("row_number").to_pylist()
+                self.number_rows(numbers)
+                columns = [batch.column(n).to_pylist() for n in self.names]
+                for number, *values in zip(numbers, *columns):
+                    number += 1  # the header is row 1
+                    if number <= max(last, 1):
+                        raise ValueError(f"row {number - 1} comes after row {last - 1}: a task's rows must be in order, from 1")
+                    if number > MAX_ROWS:
+                        raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
+                    first, last = first or number, number
+                    held.append(self.row_xml(number, values))
+                flush()
             f.write(packer.flush(zlib.Z_FULL_FLUSH))
         return Fragment(path, first, last, size, crc)
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import glob
+import io
 import itertools
 import math
 import os
@@ -20,7 +21,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from xml.etree.ElementTree import iterparse, parse
+from xml.etree.ElementTree import fromstring, iterparse, parse
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -48,6 +49,22 @@ def _text(element) -> str:
     return _decode("".join(t.text or "" for run in element for t in ([run] if _local(run.tag) == "t" else run if _local(run.tag) == "r" else []) if _local(t.tag) == "t"))
 
 
+#: A row and its cells as most programs write them; attributes in this order, no formula, no runs.
+_PLAIN_ROW = re.compile(r'\s*<row(?: r="([1-9][0-9]{0,6})")?(?: [a-zA-Z:0-9]+="[^"<>]*")*(?:/>|>(.*?)</row>)', re.S)
+_PLAIN_CELL = re.compile(r'<c(?: r="([A-Z]{1,3})[0-9]+")?(?: s="([0-9]+)")?(?: t="([a-zA-Z]+)")?(?:/>|>(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)')
+
+
+def _plain_text(text: str) -> str:
+    if "&" in text or "\r" in text:
+        text = _entities(text)
+    return _decode(text) if "_x" in text else text
+
+
+def _entities(text: str) -> str:
+    """Text with entities, as a parser reads it."""
+    return fromstring(f"<t>{text}</t>").text or ""
+
+
 class Workbook:
     """The parts of an .xlsx file, found through its relationships."""
 
@@ -105,12 +122,108 @@ class Workbook:
         return out
 
     def rows(self, part: str, most: int | None = None) -> Iterator[tuple[int, list[tuple]]]:
-        """Row number, and (col from 0, kind, num, str, bool, err, formula) of each cell. Read rows are taken out of
-        the tree, so memory holds one row; most bounds the bytes of the part."""
-        strings, dates, last = self.strings(), self.date_styles(), 0
-        anchors: dict[str, tuple[str, int, int]] = {}
+        """Row number, and (col from 0, kind, num, str, bool, err, formula) of each cell; most bounds the bytes of the
+        part. Most files write a row's plain cells in one way, which one expression takes; a sheet with anything else
+        is parsed as XML from its first such row on."""
         if most is not None and self.zip.getinfo(self.names[part.lower()]).file_size > most:
             raise ValueError(f"{part} has more than {most} bytes")
+        done = 0
+        for row, cells in self._plain_rows(part):
+            if cells is None:
+                break
+            done += 1
+            yield row, cells
+        else:
+            return
+        yield from itertools.islice(self._parsed_rows(part), done, None)
+
+    def _plain_rows(self, part: str) -> Iterator[tuple[int, list[tuple] | None]]:
+        """Rows of plain cells; (0, None) where there is something else."""
+        strings, dates, last, held = self.strings(), self.date_styles(), 0, ""
+        places: dict[str, int] = {}
+        with self.open(part) as raw:
+            f = io.TextIOWrapper(raw, encoding="utf-8", errors="strict", newline="")
+            begun = False
+            while True:
+                block = f.read(1 << 18)
+                held += block
+                if not begun:
+                    at = held.find("<sheetData>")
+                    if at < 0:
+                        if block and len(held) < 1 << 22:
+                            continue
+                        yield 0, None
+                        return
+                    if "<!" in held[:at] or ("encoding=" in held[:200] and not re.search("encoding=.utf-8", held[:200], re.I)):
+                        yield 0, None
+                        return
+                    held, begun = held[at + 11 :], True
+                stop = held.find("</sheetData>")
+                end = stop if stop >= 0 else held.rfind("</row>") + 6
+                if end > 5 or stop >= 0:
+                    text, at = held[:end], 0
+                    for m in _PLAIN_ROW.finditer(text):
+                        if m.start() != at:
+                            break
+                        at = m.end()
+                        last = int(m[1]) if m[1] else last + 1
+                        cells, place, found = [], -1, _PLAIN_CELL.findall(m[2] or "")
+                        if len(found) != (m[2] or "").count("<c"):
+                            yield 0, None
+                            return
+                        for letters, style, kind, value, inline in found:
+                            if letters:
+                                place = places.get(letters)
+                                if place is None:
+                                    place = places[letters] = column_number(letters) - 1
+                            else:
+                                place += 1
+                            if place >= MAX_COLS:
+                                raise ValueError(f"column {place + 1} is beyond the sheet")
+                            cells.append((place, *self._plain_cell(kind, style, value, inline, strings, dates)))
+                        yield last, cells
+                    if text[at:].strip():
+                        yield 0, None
+                        return
+                    if stop >= 0:
+                        return
+                    held = held[end:]
+                if not block:
+                    yield 0, None  # cut off: the parser says where
+                    return
+
+    def _plain_cell(self, kind: str, style: str, value: str, inline: str, strings: list[str], dates: set[int]) -> tuple:
+        if not kind or kind == "n":
+            if value == "":
+                return "z", None, None, None, None, None
+            try:
+                x = float(value) + 0.0
+            except ValueError:
+                return "s", None, _entities(value), None, None, None
+            if style and int(style) in dates:
+                return "d", x, iso(serial_to_datetime(x, self.date1904)), None, None, None
+            return "n", x, None, None, None, None
+        if kind == "inlineStr":
+            return "s", None, _plain_text(inline), None, None, None
+        if kind == "s" and value.isdigit():
+            k = int(value)
+            return ("s", None, strings[k], None, None, None) if k < len(strings) else ("z", None, None, None, None, None)
+        if kind == "str":
+            return "s", None, _plain_text(value), None, None, None
+        if value == "":
+            return "z", None, None, None, None, None
+        if kind == "b":
+            return "b", None, None, value.strip() in ("1", "true"), None, None
+        if kind == "e":
+            return "e", None, None, None, _entities(value), None
+        if kind == "d" and (when := _iso_moment(value.strip())):
+            return "d", datetime_to_serial(when, self.date1904), iso(when), None, None, None
+        return ("z", None, None, None, None, None) if kind == "s" else ("s", None, _entities(value), None, None, None)
+
+    def _parsed_rows(self, part: str) -> Iterator[tuple[int, list[tuple]]]:
+        """rows() of any XML: read rows are taken out of the tree, so memory holds one row."""
+        strings, dates, last = self.strings(), self.date_styles(), 0
+        anchors: dict[str, tuple[str, int, int]] = {}
         with self.open(part) as f:
             parents: list = []
             for event, e in iterparse(f, ("start", "end")):
@@ -229,27 +342,37 @@ def cell_batches(cells: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _KINDS)], names=names)
 
 
+def _number_xml(ref: str, x) -> str:
+    return f'<c r="{ref}"><v>{x}</v></c>'
+
+
+def _date_xml(ref: str, value: dt.date) -> str:
+    when = value if isinstance(value, dt.datetime) else dt.datetime(value.year, value.month, value.day)
+    serial = datetime_to_serial(when.replace(tzinfo=None))
+    return f'<c r="{ref}" s="{2 if serial == int(serial) else 1}"><v>{serial!r}</v></c>'
+
+
+_CELL_XML = {
+    type(None): lambda ref, x: "", bool: lambda ref, x: f'<c r="{ref}" t="b"><v>{int(x)}</v></c>', int: _number_xml, decimal.Decimal: _number_xml,
+    float: lambda ref, x: f'<c r="{ref}"><v>{x}</v></c>' if math.isfinite(x) else f'<c r="{ref}" t="e"><v>#NUM!</v></c>', dt.date: _date_xml, dt.datetime: _date_xml,
+    str: lambda ref, x: f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_escaped(x)}</t></is></c>',
+}
+
+
 def cell_xml(ref: str, value) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, float, decimal.Decimal)):
-        if isinstance(value, float) and not math.isfinite(value):
-            return f'<c r="{ref}" t="e"><v>#NUM!</v></c>'
-        return f'<c r="{ref}"><v>{value}</v></c>'
-    if isinstance(value, dt.date):
-        when = value if isinstance(value, dt.datetime) else dt.datetime(value.year, value.month, value.day)
-        serial = datetime_to_serial(when.replace(tzinfo=None))
-        return f'<c r="{ref}" s="{2 if serial == int(serial) else 1}"><v>{serial!r}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{_escaped(str(value))}</t></is></c>'
-
-
-def _escaped(value: str) -> str:
-    text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", value)
+    known = _CELL_XML.get(type(value))
+    return known(ref, value) if known else _date_xml(ref, value) if isinstance(value, dt.date) else _CELL_XML[str](ref, str(value))
+
+
+_ODD_TEXT = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r\ufffe\uffff]")
+
+
+def _escaped(text: str) -> str:
+    if "_x" in text:
+        text = re.sub(r"_(?=x[0-9A-Fa-f]{4}_)", "_x005F_", text)
     if len(text) > MAX_TEXT // 2 and len(text.encode("utf-16-le")) // 2 > MAX_TEXT:
         raise ValueError(f"a cell holds {MAX_TEXT} characters at most")
-    return escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\r\ufffe\uffff]", lambda m: f"_x{ord(m[0]):04X}_", text))
+    return escape(_ODD_TEXT.sub(lambda m: f"_x{ord(m[0]):04X}_", text))
 
 
 class _Writer(FragmentWriter):
@@ -258,8 +381,8 @@ class _Writer(FragmentWriter):
     "#Sheet!A1"), validations ([{"range", "type", "operator", "formula1", "formula2", "list"}]), conditionalFormats
     ([{"range", "xml"}]), protect (a password), printArea, landscape, names ({"Rate": "0.2"}), title, creator."""
 
-    def row_xml(self, number, row):
-        cells = "".join([cell_xml(f"{letters}{number}", row[name]) for letters, name in self.columns()])
+    def row_xml(self, number, values):
+        cells = "".join([cell_xml(f"{letters}{number}", x) for (letters, _), x in zip(self.columns(), values)])
         return f'<row r="{number}">{cells}</row>'
 
     def columns(self):
