@@ -91,3 +91,10 @@ def sniff_delimiter(text: str) -> str:
     """The most frequent of comma, semicolon, tab and pipe outside quotes on the first line."""
     line = re.sub(r'"[^"]*"', "", text.removeprefix("﻿")).splitlines()[:1] or [""]
     return max(",;\t|", key=line[0].count)
+
+
+def delimiter_of(text: Column) -> Column:
+    """sniff_delimiter() of a column of texts; ties go by the order of comma, semicolon, tab and pipe."""
+    line = F.regexp_replace(F.regexp_extract(text, r"^\x{FEFF}?([^\r\n]*)", 1), '"[^"]*"', "")
+    counts = [F.struct((F.length(line) - F.length(F.translate(line, d, ""))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(",;\t|")]
+    return F.array_max(F.array(*counts))["d"]

@@ -149,3 +149,51 @@ def xlsx_names(spark, sf_dir):
 @query("""SELECT 0 AS position, 'Parts' AS sheet, 'visible' AS state""")
 def xlsx_sheets(spark, sf_dir):
     return _part(spark, sf_dir, "sheets").toDF("position", "sheet", "state")
+
+
+@query(_PART_SQL)
+def stream_workbooks(spark, sf_dir):
+    """Two workbooks in a folder, read as a stream until all of them are in, in files."""
+    from quadrille.streaming import stream_cells
+
+    xlsx.register(spark)
+    folder = _place(spark, "inbox")
+    parts = _parts(spark, sf_dir)
+    for k in range(2):
+        some = parts.filter(F.col("p_partkey") % 2 == k)
+        some.write.format("xlsx").mode("append").save(_made(folder, f"half{k}.xlsx"))
+    out = f"{folder}-cells"
+    query_ = stream_cells(spark, f"file:{folder}").writeStream.format("parquet").option("checkpointLocation", f"file:{folder}-log").trigger(availableNow=True).start(f"file:{out}")
+    query_.awaitTermination()
+    cells = spark.read.parquet(f"file:{out}").filter("row > 1").groupBy("file", "row")
+    wide = cells.agg(*[F.max(F.when(F.col("col") == k, F.col(kind))).alias(name) for k, (name, kind) in enumerate(_PART.items())])
+    return wide.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[c for c in _PART if c != "p_partkey"])
+
+
+def _made(folder: str, name: str) -> str:
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{name}"
+
+
+@query("""SELECT col + 1 AS "first", CAST(LEAST(255, GREATEST(10, round(MAX(length(value)) * 1.2, 2))) AS DOUBLE) AS width FROM
+ (SELECT 0 AS col, CAST(c_custkey AS VARCHAR) AS value FROM customer WHERE c_custkey < 100 UNION ALL SELECT 1, c_name FROM customer WHERE c_custkey < 100 UNION ALL SELECT 2, c_mktsegment FROM customer WHERE c_custkey < 100) GROUP BY 1""")
+def csv_to_workbook(spark, sf_dir):
+    """CSV made a workbook: the first 100 rows give the widths of the columns."""
+    import json
+
+    from quadrille.operators.shaping import column_widths, preview, to_cells
+
+    csv.register(spark)
+    xlsx.register(spark)
+    workbook.register(spark)
+    path, book = _place(spark, "in.csv"), _place(spark, "out.xlsx")
+    t = table(spark, sf_dir, "customer")
+    first = t.agg(F.min("c_custkey")).first()[0]
+    csv.write_csv(t.withColumn("row", F.col("c_custkey") - first + 1), ["c_custkey", "c_name", "c_mktsegment"], path)
+    rows = spark.read.format("sheet-csv").load(path).select(F.col("fields")[0].cast("double").cast("long").alias("k"), F.col("fields")[1].alias("name"), F.col("fields")[2].alias("segment"))
+    sample = preview(rows.filter(F.col("k") < 100), 100, "k")
+    widths = {r["col"]: r["width"] for r in column_widths(to_cells(sample, "k", ["k", "name", "segment"])).collect()}  # one row a column
+    _numbered(rows, "k", first).write.format("xlsx").option("widths", json.dumps([widths.get(k) for k in range(3)])).mode("append").save(book)
+    return spark.read.format("workbook").option("part", "widths").load(book).drop("file").toDF("sheet", "first", "last", "width").select("first", "width")

@@ -340,3 +340,30 @@ def style_dedupe(spark, sf_dir):
 def last_rows(spark, sf_dir):
     t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sheet"), F.col("o_orderkey").alias("row"))
     return catalog.last_row(t, ["sheet"])
+
+
+@query("""SELECT o_orderkey AS "row", o_orderstatus || ';' || format('{:,.2f}', o_totalprice) || ';' || strftime(o_orderdate, '%d.%m.%Y') || chr(13) AS line FROM orders""")
+def csv_formatted_lines(spark, sf_dir):
+    """Lines as a person sees the cells: formatted text, another delimiter, CR and LF at the end."""
+    from quadrille.functions.csv_text import csv_line
+    from quadrille.functions.dates import serial_column
+    from quadrille.functions.number_format import format_column
+
+    shown = [F.col("o_orderstatus"), format_column(F.col("o_totalprice"), "#,##0.00"), format_column(serial_column(F.col("o_orderdate")), "dd.mm.yyyy")]
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.concat(csv_line(shown, ";"), F.lit("\r")).alias("line"))
+
+
+@query("""SELECT a.s_suppkey AS comment, n_name AS author FROM supplier a LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def author_lookup(spark, sf_dir):
+    """Comments name their author by number."""
+    comments = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("comment"), "s_nationkey")
+    return catalog.look_up(comments, "s_nationkey", table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "author").select("comment", "author")
+
+
+@query("""SELECT source, CASE WHEN n > 0 THEN ';' ELSE ',' END AS delimiter FROM (SELECT source, 1 AS n FROM documents GROUP BY 1)""")
+def delimiter_sniff(spark, sf_dir):
+    """The most frequent candidate outside quotes on the first line."""
+    from quadrille.functions.csv_text import delimiter_of
+
+    lines = table(spark, sf_dir, "documents").select("source", F.lit('"a,b,c,d";x;y\n1,2,3,4,5').alias("text")).distinct()
+    return lines.select("source", delimiter_of(F.col("text")).alias("delimiter"))
