@@ -9,7 +9,9 @@ results. Blank cells are not reported.
 
 from __future__ import annotations
 
+import bisect
 import glob
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,55 +111,41 @@ def _string(data: bytes, at: int, wide_count: bool = True) -> str:
     return data[at : at + 2 * count].decode("utf-16-le", "replace") if flags & 1 else data[at : at + count].decode("latin-1")
 
 
-class _Joined:
-    """A record and its continuations, read as one run of bytes. Characters may break between two of them; each
-    continuation then says anew how wide they are."""
-
-    def __init__(self, parts: list[bytes]):
-        self.parts, self.at = [p for p in parts if p], 0
-
-    def _settle(self) -> None:
-        while self.parts and self.at >= len(self.parts[0]):
-            self.parts.pop(0)
-            self.at = 0
-
-    def take(self, n: int) -> bytes:
-        out = b""
-        while n > len(out):
-            self._settle()
-            if not self.parts:
-                raise ValueError("the shared strings are cut short")
-            got = self.parts[0][self.at : self.at + n - len(out)]
-            out, self.at = out + got, self.at + len(got)
-        return out
-
-    def ended(self) -> bool:
-        self._settle()
-        return not self.parts
-
-    def text(self, count: int, wide: bool) -> str:
-        out = []
-        while count:
-            if self.at >= len(self.parts[0]):
-                wide = bool(self.take(1)[0] & 1)
-            width = 2 if wide else 1
-            n = min(count, (len(self.parts[0]) - self.at) // width)
-            if not n:
-                raise ValueError("a character is split between records")
-            out.append(self.take(n * width).decode("utf-16-le" if wide else "latin-1", "surrogatepass"))
-            count -= n
-        return "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
-
-
 def shared_strings(parts: list[bytes]) -> list[str]:
-    joined, out = _Joined(parts), []
-    total = struct.unpack("<2I", joined.take(8))[1]
-    while len(out) < total and not joined.ended():
-        count, flags = struct.unpack("<HB", joined.take(3))
-        runs = struct.unpack("<H", joined.take(2))[0] if flags & 8 else 0
-        extra = struct.unpack("<I", joined.take(4))[0] if flags & 4 else 0
-        out.append(joined.text(count, bool(flags & 1)))
-        joined.take(4 * runs + extra)
+    """The shared strings of a record and those that continue it, read from all of them joined. Where a string's
+    characters reach the end of a record, the next one begins with a byte that says how wide the rest is."""
+    data, ends = b"".join(parts), list(itertools.accumulate(map(len, parts)))
+    edges = set(ends)
+
+    def characters(at: int, count: int, wide: bool) -> tuple[bytes, int]:
+        """As UTF-16, and where they end."""
+        if count and at in edges:
+            wide, at = bool(data[at] & 1), at + 1
+        stop = ends[bisect.bisect_right(ends, at)] if count else at
+        here = min(count, (stop - at) >> wide)
+        end = at + (here << wide)
+        head = data[at:end] if wide else data[at:end].decode("latin-1").encode("utf-16-le")
+        if here == count:
+            return head, end
+        if end != stop:
+            raise ValueError("a character is split between records")
+        tail, end = characters(end, count - here, wide)
+        return head + tail, end
+
+    out, at = [], 8
+    try:
+        total = struct.unpack_from("<I", data, 4)[0]
+        while len(out) < total and at < len(data):
+            count, flags = struct.unpack_from("<HB", data, at)
+            runs, extra = at + 3, at + 3 + 2 * bool(flags & 8)
+            after = 4 * (struct.unpack_from("<H", data, runs)[0] if flags & 8 else 0) + (struct.unpack_from("<I", data, extra)[0] if flags & 4 else 0)
+            text, at = characters(extra + 4 * bool(flags & 4), count, bool(flags & 1))
+            out.append(text.decode("utf-16-le", "replace"))
+            at += after
+    except (IndexError, struct.error):
+        at = len(data) + 1
+    if at > len(data):
+        raise ValueError("the shared strings are cut short")
     return out
 
 
