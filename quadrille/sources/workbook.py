@@ -125,6 +125,7 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.only, self.part = options["path"].removeprefix("file:"), options.get("sheetname"), options.get("part", "cells")
+        self.every = options.get("sheets") == "all" or (self.part != "cells" and self.only is None)
 
     def partitions(self):
         out: list[InputPartition] = []
@@ -135,9 +136,9 @@ class _Reader(DataSourceReader):
             if kind == "ods" or self.part in ("sheets", "names", "properties"):
                 out.append(_Part(f, kind, None, None))
             elif kind == "xls":
-                out += [_Part(f, kind, name, at) for name, _, at in xls._load(f).sheets if self.only in (None, name)]
+                out += [_Part(f, kind, name, at) for name, _, at in xlsx.chosen(xls._load(f).sheets, self.only, self.every)]
             else:
-                out += [_Part(f, kind, name, at) for name, at in xlsx.Workbook(f).sheets if self.only in (None, name)]
+                out += [_Part(f, kind, name, at) for name, at in xlsx.chosen(xlsx.Workbook(f).sheets, self.only, self.every)]
         return out
 
     def read(self, p):
@@ -148,7 +149,7 @@ class _Reader(DataSourceReader):
             else:
                 yield from ((p.file, p.sheet, *x) for x in _furniture(book, p.at, self.part))
         elif p.kind == "ods":
-            for x in ods.read_cells(p.file, self.only):
+            for x in ods.read_cells(p.file, self.only, self.every):
                 yield p.file, *x
         elif p.kind == "xls":
             for row, col, *cell in xls._load(p.file).cells(p.at):

@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quadrille.functions.dates import DATE_FORMAT_IDS, is_date_format, iso, serial_to_datetime
-from quadrille.sources.xlsx import CELLS
+from quadrille.sources.xlsx import CELLS, chosen
 
 SIGNATURE = bytes.fromhex("d0cf11e0a1b11ae1")
 _LAST_SECTOR = 0xFFFFFFFA
@@ -266,10 +266,10 @@ class _Sheet(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.only = options["path"].removeprefix("file:"), options.get("sheetname")
+        self.path, self.only, self.every = options["path"].removeprefix("file:"), options.get("sheetname"), options.get("sheets") == "all"
 
     def partitions(self):
-        return [_Sheet(f, name, at) for f in sorted(glob.glob(self.path)) for name, _, at in _load(f).sheets if self.only in (None, name)]
+        return [_Sheet(f, name, at) for f in sorted(glob.glob(self.path)) for name, _, at in chosen(_load(f).sheets, self.only, self.every)]
 
     def read(self, partition):
         for row, col, *cell in _load(partition.file).cells(partition.at):

@@ -314,6 +314,11 @@ class _Sheet(InputPartition):
     part: str
 
 
+def chosen(sheets: list[tuple], only: str | None, every: bool) -> list[tuple]:
+    """The sheet of a name, each, or the first one."""
+    return sheets if every else [s for s in sheets if s[0] == only] if only is not None else sheets[:1]
+
+
 class _Reader(DataSourceReader):
     """sheetName names the sheet; without it the first one is read, and with sheets=all each."""
 
@@ -324,8 +329,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for f in sorted(glob.glob(self.path)):
-            sheets = Workbook(f).sheets
-            out += [_Sheet(f, name, part) for name, part in (sheets if self.all else [s for s in sheets if s[0] == self.only] if self.only else sheets[:1])]
+            out += [_Sheet(f, name, part) for name, part in chosen(Workbook(f).sheets, self.only, self.all)]
         return out
 
     def read(self, partition):
