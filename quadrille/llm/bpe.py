@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words whose tokens a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 class Automaton:
@@ -85,7 +85,7 @@ class Automaton:
             if y not in self.left:
                 break
             created, y = self.step[y], self.left[y]
-        if len(self._arcs) > 400_000:
+        if len(self._arcs) > 200_000:
             self._arcs.clear()
         self._arcs[key] = ok
         return ok

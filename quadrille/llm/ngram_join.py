@@ -224,7 +224,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
         sketch[p["segment"]] = np.frombuffer(p["counts"], dtype=np.uint32)
     total = int((rows.agg(F.sum("n")).first()[0]) or 0)
     shared = docs.sparkSession.sparkContext.broadcast(sketch.reshape(-1))
-    load, buckets = total / (1 << BITS), max(12, total // 3_000_000)
+    load, buckets = total / (1 << BITS), max(12, total // 750_000)
     hot = max(HOT_POSTINGS, 8 * load)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if i is None or not len(s) or (key, ) in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     seen.clear()
                 seen.add((key,))
                 head, match, hub = prefix(s, table, load)
