@@ -85,13 +85,15 @@ def map_formulas(table: DataFrame, change, column: str = "formula", own: Column
     return joined.withColumn(column, F.col("_new")).select(*table.columns)
 
 
-def shift(cells: DataFrame, rows: Axis = Axis(), cols: Axis = Axis(), sheet: str | None = None) -> DataFrame:
+def shift(cells: DataFrame, rows: Axis = Axis(), cols: Axis = Axis(), sheet: str | None = None, edge: bool = True) -> DataFrame:
     """The cells after rows and columns (from 1) of a sheet (or of all) were inserted and deleted, in order. Other
-    sheets' formulas follow where they name that sheet."""
+    sheets' formulas follow where they name that sheet. A cell beyond the edge of a sheet is an error; without edge the
+    rows are those of a table, which may be longer than a sheet."""
     own = F.lit(True) if sheet is None else F.col("sheet") == sheet
     row, col = rows.column(F.col("row")), cols.column(F.col("col") + 1) - 1
     moved = cells.withColumn("_r", F.when(own, row).otherwise(F.col("row"))).withColumn("_c", F.when(own, col).otherwise(F.col("col"))).filter("_r is not null and _c is not null")
-    over = F.assert_true((F.col("_r") <= MAX_ROWS) & (F.col("_c") < MAX_COLS), F.lit("cells were moved off the sheet")).isNull()
+    fits = (F.col("_r") <= MAX_ROWS) & (F.col("_c") < MAX_COLS) if edge else F.col("_c") < MAX_COLS
+    over = F.assert_true(fits, F.lit("cells were moved off the sheet")).isNull()
     moved = moved.filter(over).withColumn("row", F.col("_r")).withColumn("col", F.col("_c")).select(cells.columns)
     if "formula" not in cells.columns:
         return moved
@@ -102,8 +104,8 @@ def insert_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None)
     return shift(cells, rows=Axis(((at, count, True),)), sheet=sheet)
 
 
-def delete_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None) -> DataFrame:
-    return shift(cells, rows=Axis(((at, count, False),)), sheet=sheet)
+def delete_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None, edge: bool = True) -> DataFrame:
+    return shift(cells, rows=Axis(((at, count, False),)), sheet=sheet, edge=edge)
 
 
 def insert_columns(cells: DataFrame, at: int, count: int, sheet: str | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def insert_rows(spark, sf_dir):
 
 @query("""SELECT o_orderkey - CASE WHEN o_orderkey >= 105 THEN 5 ELSE 0 END AS row_number, o_custkey FROM orders WHERE NOT o_orderkey BETWEEN 100 AND 104""")
 def delete_rows(spark, sf_dir):
-    return edits.delete_rows(_order_rows(spark, sf_dir), 100, 5).select(F.col("row").cast("long").alias("row_number"), F.col("value").alias("o_custkey"))
+    return edits.delete_rows(_order_rows(spark, sf_dir), 100, 5, edge=False).select(F.col("row").cast("long").alias("row_number"), F.col("value").alias("o_custkey"))
 
 
 @query(f"""SELECT "row", CASE WHEN col >= 1 THEN col + 2 ELSE col END AS col, value FROM {_CELLS_SQL}""")
