@@ -47,7 +47,7 @@ def delete_columns(spark, sf_dir):
  (SELECT o_orderkey AS k, o_custkey AS v FROM orders) WHERE NOT k BETWEEN 280 AND 299""")
 def edit_sequence(spark, sf_dir):
     """Three rows in at 50, then, in the places that leaves, twenty deleted from 283 on."""
-    return edits.shift(_order_rows(spark, sf_dir), rows=Axis(((50, 3, True), (283, 20, False)))).select("row", "value")
+    return edits.shift(_order_rows(spark, sf_dir), rows=Axis(((50, 3, True), (283, 20, False))), edge=False).select("row", "value")
 
 
 @query("""SELECT n_nationkey + CASE WHEN n_nationkey >= 10 THEN 2 ELSE 0 END AS "row", 'SUM(A' || CAST(CASE WHEN n_nationkey + 1 >= 10 THEN n_nationkey + 3 ELSE n_nationkey + 1 END AS VARCHAR) || ':A32)+Other!A30+"A30"' AS formula FROM nation""")

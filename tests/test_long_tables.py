@@ -27,3 +27,7 @@ def test_delete_rows(spark, tmp_path):
     assert edits.delete_rows(off, 100, 5, edge=False).first().row == 1_048_577
     with pytest.raises(PySparkException):
         edits.delete_rows(off, 100, 5).collect()
+
+
+def test_edit_sequence(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, "edit_sequence")
