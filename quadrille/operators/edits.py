@@ -100,8 +100,8 @@ def shift(cells: DataFrame, rows: Axis = Axis(), cols: Axis = Axis(), sheet: str
     return map_formulas(moved, lambda f, mine: rewrite_formula(f, rows, cols, sheet, mine), own=own)
 
 
-def insert_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None) -> DataFrame:
-    return shift(cells, rows=Axis(((at, count, True),)), sheet=sheet)
+def insert_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None, edge: bool = True) -> DataFrame:
+    return shift(cells, rows=Axis(((at, count, True),)), sheet=sheet, edge=edge)
 
 
 def delete_rows(cells: DataFrame, at: int, count: int, sheet: str | None = None, edge: bool = True) -> DataFrame:

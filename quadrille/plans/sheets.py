@@ -25,7 +25,7 @@ def _order_rows(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT o_orderkey + CASE WHEN o_orderkey >= 100 THEN 5 ELSE 0 END AS row_number, o_custkey FROM orders""")
 def insert_rows(spark, sf_dir):
-    return edits.insert_rows(_order_rows(spark, sf_dir), 100, 5).select(F.col("row").cast("long").alias("row_number"), F.col("value").alias("o_custkey"))
+    return edits.insert_rows(_order_rows(spark, sf_dir), 100, 5, edge=False).select(F.col("row").cast("long").alias("row_number"), F.col("value").alias("o_custkey"))
 
 
 @query("""SELECT o_orderkey - CASE WHEN o_orderkey >= 105 THEN 5 ELSE 0 END AS row_number, o_custkey FROM orders WHERE NOT o_orderkey BETWEEN 100 AND 104""")

@@ -31,3 +31,15 @@ def test_delete_rows(spark, tmp_path):
 
 def test_edit_sequence(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "edit_sequence")
+
+
+def test_insert_rows(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from quadrille.operators import edits
+
+    assert same_as_sql(spark, tmp_path, "insert_rows")
+    last = spark.createDataFrame([(1_048_576, 0)], "row long, col int")
+    assert edits.insert_rows(last, 100, 5, edge=False).first().row == 1_048_581
+    with pytest.raises(PySparkException):
+        edits.insert_rows(last, 100, 5).collect()
