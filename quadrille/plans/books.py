@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quadrille.plans.registry import query, table
 from quadrille.sources import csv, ods, workbook, xlsx
+from quadrille.sources.xlsx import MAX_ROWS
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -33,8 +34,8 @@ def _numbered(df: DataFrame, key: str, first: int = 0) -> DataFrame:
 
 
 def _typed(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row a sheet row below the header: columns by place and kind of value."""
-    body = cells.filter("row > 1").groupBy("row")
+    """One row a sheet row below the header, in each sheet: columns by place and kind of value."""
+    body = cells.filter("row > 1").groupBy("sheet", "row")
     return body.agg(*[F.max(F.when(F.col("col") == k, F.col(kind))).alias(name) for k, (name, kind) in enumerate(columns.items())])
 
 
@@ -64,8 +65,8 @@ def xlsx_roundtrip(spark, sf_dir):
 def ods_roundtrip(spark, sf_dir):
     ods.register(spark)
     path = _place(spark, "parts.ods")
-    _parts(spark, sf_dir).write.format("ods").option("sheetName", "Parts").option("widths", "[10, 40]").mode("append").save(path)
-    return _part_rows(spark.read.format("ods").load(path))
+    _parts(spark, sf_dir).write.format("ods").option("sheetName", "Parts").option("widths", "[10, 40]").option("sheetRows", MAX_ROWS).mode("append").save(path)
+    return _part_rows(spark.read.format("ods").option("sheets", "all").load(path))
 
 
 @query(_PART_SQL)

@@ -2,7 +2,8 @@
 
 Fragments end on a full flush, so they are joined without being inflated, and their checksums are combined. Rows are
 numbered by a column row_number (from 1) and each task's rows must come in order; tasks may come in any order, but not
-interleave. The file is written beside its place and then renamed, so a failed commit leaves what was there. Fragments
+interleave. With the option sheetRows, rows go on in further sheets once one holds so many (its header counts); without
+it more rows than a sheet has are an error. The file is written beside its place and then renamed, so a failed commit leaves what was there. Fragments
 of failed and repeated attempts lie in the same folder and go with it.
 """
 
@@ -48,12 +49,41 @@ def crc_combine(a: int, b: int, length: int) -> int:
 
 
 @dataclass
-class Fragment(WriterCommitMessage):
+class Fragment:
+    """Rows first to last of a sheet (from 0), as a task wrote them."""
+
     path: str
+    sheet: int
     first: int
-    last: int
-    size: int
-    crc: int
+    last: int = 0
+    size: int = 0
+    crc: int = 0
+
+
+@dataclass
+class Fragments(WriterCommitMessage):
+    parts: list[Fragment]
+
+
+class _Open:
+    """A fragment that is being written."""
+
+    def __init__(self, path: str, sheet: int, first: int):
+        self.made, self.held = Fragment(path, sheet, first), []
+        self.packer, self.file = zlib.compressobj(6, zlib.DEFLATED, -15), open(path, "wb")
+
+    def flush(self) -> None:
+        raw = "".join(self.held).encode()
+        self.held.clear()
+        self.file.write(self.packer.compress(raw))
+        self.made.size, self.made.crc = self.made.size + len(raw), zlib.crc32(raw, self.made.crc)
+
+    def close(self, last: int) -> Fragment:
+        self.flush()
+        self.made.last = last
+        self.file.write(self.packer.flush(zlib.Z_FULL_FLUSH))
+        self.file.close()
+        return self.made
 
 
 class FragmentWriter(DataSourceArrowWriter):
@@ -66,6 +96,9 @@ class FragmentWriter(DataSourceArrowWriter):
         if os.path.exists(self.path) and not overwrite:
             raise FileExistsError(self.path)
         self.stage = f"{self.path}.parts-{uuid.uuid4().hex}"
+        self.several, self.most = "sheetrows" in self.options, self.option("sheetRows", MAX_ROWS)
+        if not isinstance(self.most, int) or not 2 <= self.most <= MAX_ROWS:
+            raise ValueError(f"sheetRows is a number from 2 to {MAX_ROWS}")
 
     def option(self, name: str, otherwise=None):
         """An option as JSON; text that is none as it stands."""
@@ -82,51 +115,62 @@ class FragmentWriter(DataSourceArrowWriter):
     def number_rows(self, numbers: list) -> None:
         """Called with the numbers of each batch, before its rows are written."""
 
-    def book(self, last: int) -> tuple[list[tuple[str, bytes]], str, bytes, bytes, list[tuple[str, bytes]]]:
-        """Parts before, the sheet's name, its head and tail, parts after."""
+    def book(self, sheets: list[tuple[str, list[Fragment]]]) -> list[tuple[str, list[bytes | Fragment]]]:
+        """The file's parts in order, each by its pieces; sheets have their name and rows."""
         raise NotImplementedError
 
+    def sheet_name(self, k: int) -> str:
+        """The name of a sheet, and of those in which its rows go on."""
+        return self.sheet if not k else f"{self.sheet[: 31 - len(f' ({k + 1})')]} ({k + 1})"
+
     def write(self, iterator):
         from pyspark import TaskContext
 
         os.makedirs(self.stage, exist_ok=True)
         path = f"{self.stage}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
-        packer, size, crc, first, last, held = zlib.compressobj(6, zlib.DEFLATED, -15), 0, 0, 0, 0, []
-        with open(path, "wb") as f:
-
-            def flush() -> None:
-                nonlocal size, crc
-                raw = "".join(held).encode()
-                held.clear()
-                f.write(packer.compress(raw))
-                size, crc = size + len(raw), zlib.crc32(raw, crc)
-
+        done, now, last = [], None, 0
+        most, several = self.most - 1, self.several
+        try:
             for batch in iterator:
                 numbers = batch.column("row_number").to_pylist()
                 self.number_rows(numbers)
                 columns = [batch.column(n).to_pylist() for n in self.names]
                 for number, *values in zip(numbers, *columns):
-                    number += 1  # the header is row 1
-                    if number <= max(last, 1):
-                        raise ValueError(f"row {number - 1} comes after row {last - 1}: a task's rows must be in order, from 1")
-                    if number > MAX_ROWS:
+                    if number <= last:
+                        raise ValueError(f"row {number} comes after row {last}: a task's rows must be in order, from 1")
+                    sheet, place = divmod(number - 1, most)
+                    if sheet and not several:
                         raise ValueError(f"a sheet has {MAX_ROWS} rows at most")
-                    first, last = first or number, number
-                    held.append(self.row_xml(number, values))
-                flush()
-            f.write(packer.flush(zlib.Z_FULL_FLUSH))
-        return Fragment(path, first, last, size, crc)
+                    if now is None or now.made.sheet != sheet:
+                        if now is not None:
+                            done.append(now.close(last))
+                        now = _Open(f"{path}-{sheet}", sheet, number)
+                    last = number
+                    now.held.append(self.row_xml(place + 2, values))  # the header is row 1
+                if now is not None:
+                    now.flush()
+            if now is not None:
+                done.append(now.close(last))
+        finally:
+            if now is not None:
+                now.file.close()
+        return Fragments(done)
 
     def commit(self, messages):
-        parts = sorted((m for m in messages if m is not None and m.first), key=lambda m: m.first)
+        parts = sorted((f for m in messages if m is not None for f in m.parts), key=lambda f: f.first)
         if any(b.first <= a.last for a, b in zip(parts, parts[1:])):
             self.abort(messages)
             raise ValueError("rows of different tasks interleave: repartitionByRange by row_number first")
         beside = f"{self.path}.{uuid.uuid4().hex}"
         try:
-            before, name, head, tail, after = self.book(parts[-1].last if parts else 1)
-            with open(beside, "wb") as f:
-                _zip(f, before, name, head, parts, tail, after)
+            sheets: dict[int, list[Fragment]] = {0: []}
+            for f in parts:
+                sheets.setdefault(f.sheet, []).append(f)
+            named = [(self.sheet_name(k), held) for k, held in sheets.items()]
+            if len({n.lower() for n, _ in named}) < len(named):
+                raise ValueError(f"sheet name {self.sheet!r} is that of a further sheet")
+            with open(beside, "wb") as out:
+                _zip(out, self.book(named))
             os.replace(beside, self.path)
         finally:
             if os.path.exists(beside):
@@ -137,7 +181,7 @@ class FragmentWriter(DataSourceArrowWriter):
         shutil.rmtree(self.stage, ignore_errors=True)
 
 
-def _zip(f, before: list[tuple[str, bytes]], name: str, head: bytes, parts: list[Fragment], tail: bytes, after: list[tuple[str, bytes]]) -> None:
+def _zip(f, parts: list[tuple[str, list[bytes | Fragment]]]) -> None:
     entries = []
 
     def entry(name: str, blobs: Iterator[bytes], crc: int, size: int, method: int = 8) -> None:
@@ -152,34 +196,27 @@ def _zip(f, before: list[tuple[str, bytes]], name: str, head: bytes, parts: list
         f.seek(end)
         entries.append((name, crc, end - begun, size, at, method))
 
-    def deflated(raw: bytes, last: bool) -> bytes:
-        p = zlib.compressobj(6, zlib.DEFLATED, -15)
-        return p.compress(raw) + p.flush(zlib.Z_FINISH if last else zlib.Z_FULL_FLUSH)
-
-    def pieces() -> Iterator[bytes]:
-        yield deflated(head, False)
-        for p in parts:
-            with open(p.path, "rb") as g:
+    def packed(pieces: list[bytes | Fragment]) -> Iterator[bytes]:
+        for k, x in enumerate(pieces, 1):
+            if isinstance(x, bytes):
+                p = zlib.compressobj(6, zlib.DEFLATED, -15)
+                yield p.compress(x) + p.flush(zlib.Z_FINISH if k == len(pieces) else zlib.Z_FULL_FLUSH)
+                continue
+            with open(x.path, "rb") as g:
                 while block := g.read(1 << 20):
                     yield block
-        yield deflated(tail, True)
-
-    def whole(parts: list[tuple[str, bytes]]) -> None:
-        for n, raw in parts:
-            if n == "mimetype":
-                entry(n, iter([raw]), zlib.crc32(raw), len(raw), 0)
-            else:
-                entry(n, iter([deflated(raw, True)]), zlib.crc32(raw), len(raw))
-
-    whole(before)
-    crc, size = zlib.crc32(head), len(head)
-    for c, n in [*((p.crc, p.size) for p in parts), (zlib.crc32(tail), len(tail))]:
-        crc, size = crc_combine(crc, c, n), size + n
-    if size >= 1 << 32:
-        raise ValueError("a part of 4 GiB or more needs ZIP64")
-    entry(name, pieces(), crc, size)
-    whole(after)
+
+    for name, pieces in parts:
+        crc = size = 0
+        for c, n in [(zlib.crc32(x), len(x)) if isinstance(x, bytes) else (x.crc, x.size) for x in pieces]:
+            crc, size = crc_combine(crc, c, n), size + n
+        if size >= 1 << 32:
+            raise ValueError("a part of 4 GiB or more needs ZIP64")
+        if name == "mimetype":
+            entry(name, iter(pieces), crc, size, 0)
+        else:
+            entry(name, packed(pieces), crc, size)
     begun = f.tell()
-    for n, c, packed, raw, at, method in entries:
-        f.write(struct.pack("<4s6H3I5H2I", b"PK\1\2", 20, 20, 0x800, method, 0, 33, c, packed, raw, len(n.encode()), 0, 0, 0, 0, 0, at) + n.encode())
+    for n, c, small, raw, at, method in entries:
+        f.write(struct.pack("<4s6H3I5H2I", b"PK\1\2", 20, 20, 0x800, method, 0, 33, c, small, raw, len(n.encode()), 0, 0, 0, 0, 0, at) + n.encode())
     f.write(struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(entries), len(entries), f.tell() - begun, begun, 0))

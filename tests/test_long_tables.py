@@ -43,3 +43,40 @@ def test_insert_rows(spark, tmp_path):
     assert edits.insert_rows(last, 100, 5, edge=False).first().row == 1_048_581
     with pytest.raises(PySparkException):
         edits.insert_rows(last, 100, 5).collect()
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """A folder of 23 parts, and the rows that the queries on parts have."""
+    folder = tmp_path_factory.mktemp("parts")
+    spark.range(23, numPartitions=2).selectExpr("id p_partkey", "concat('part ', id) p_name", "cast(id % 50 as int) p_size", "id / 4 p_retailprice").write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    return str(folder), sorted(con.sql(registry.ORACLES["xlsx_roundtrip"]).fetchall())
+
+
+def short_sheets(monkeypatch, sheets: int = 10) -> None:
+    from quadrille.plans import books
+
+    monkeypatch.setattr(books, "MAX_ROWS", sheets)
+
+
+def test_ods_roundtrip(spark, parts, monkeypatch):
+    """Rows go on in further sheets, whose first rows are headers."""
+    short_sheets(monkeypatch)
+    assert sorted(map(tuple, registry.QUERIES["ods_roundtrip"](spark, parts[0]).collect())) == parts[1]
+
+
+def test_ods_sheets(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    from quadrille.sources import ods
+
+    ods.register(spark)
+    df = spark.range(1, 8, numPartitions=1).selectExpr("cast(id as int) row_number", "id")
+    df.write.format("ods").option("sheetRows", 4).mode("append").save(f"{tmp_path}/book.ods")
+    cells = spark.read.format("ods").option("sheets", "all").load(f"{tmp_path}/book.ods").filter("row > 1")
+    assert sorted((c.sheet, c.row, c.num) for c in cells.collect()) == [*(("Sheet1", k + 1, k) for k in (1, 2, 3)), *(("Sheet1 (2)", k - 2, k) for k in (4, 5, 6)), ("Sheet1 (3)", 2, 7)]
+    assert {c.sheet for c in spark.read.format("ods").load(f"{tmp_path}/book.ods").collect()} == {"Sheet1"}
+    with pytest.raises(PySparkException):
+        df.selectExpr("row_number + 1048575 row_number", "id").write.format("ods").mode("append").save(f"{tmp_path}/long.ods")
