@@ -162,11 +162,11 @@ def stream_workbooks(spark, sf_dir):
     parts = _parts(spark, sf_dir)
     for k in range(2):
         some = parts.filter(F.col("p_partkey") % 2 == k)
-        some.write.format("xlsx").mode("append").save(_made(folder, f"half{k}.xlsx"))
+        some.write.format("xlsx").option("sheetRows", MAX_ROWS).mode("append").save(_made(folder, f"half{k}.xlsx"))
     out = f"{folder}-cells"
-    query_ = stream_cells(spark, f"file:{folder}").writeStream.format("parquet").option("checkpointLocation", f"file:{folder}-log").trigger(availableNow=True).start(f"file:{out}")
+    query_ = stream_cells(spark, f"file:{folder}", every=True).writeStream.format("parquet").option("checkpointLocation", f"file:{folder}-log").trigger(availableNow=True).start(f"file:{out}")
     query_.awaitTermination()
-    cells = spark.read.parquet(f"file:{out}").filter("row > 1").groupBy("file", "row")
+    cells = spark.read.parquet(f"file:{out}").filter("row > 1").groupBy("file", "sheet", "row")
     wide = cells.agg(*[F.max(F.when(F.col("col") == k, F.col(kind))).alias(name) for k, (name, kind) in enumerate(_PART.items())])
     return wide.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[c for c in _PART if c != "p_partkey"])
 

@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.sources.xlsx import CELLS, Workbook, cell_batches
+from quadrille.sources.xlsx import CELLS, Workbook, cell_batches, chosen
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def parse_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
-    """The cells of files (path, content): of the named sheet, or of the first one. Null and empty contents give none;
+def parse_workbooks(files: DataFrame, sheet: str | None = None, every: bool = False) -> DataFrame:
+    """The cells of files (path, content): of the named sheet, of every one, or of the first one. Null and empty contents give none;
     a damaged file is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,18 +30,17 @@ def parse_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
                 if not content.is_valid or not len(content.as_buffer()):
                     continue
                 book = Workbook(io.BytesIO(content.as_buffer()))
-                chosen = [s for s in book.sheets if s[0] == sheet] if sheet else book.sheets[:1]
-                for name, part in chosen:
+                for name, part in chosen(book.sheets, sheet or None, every):
                     yield from cell_batches((path, name, row, *cell) for row, cells in book.rows(part) for cell in cells)
 
     return files.select("path", "content").mapInArrow(run, CELLS)
 
 
-def read_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path), sheet)
+def read_cells(spark: SparkSession, path: str, sheet: str | None = None, every: bool = False) -> DataFrame:
+    return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path), sheet, every)
 
 
-def stream_cells(spark: SparkSession, folder: str, sheet: str | None = None) -> DataFrame:
+def stream_cells(spark: SparkSession, folder: str, sheet: str | None = None, every: bool = False) -> DataFrame:
     """Cells of the workbooks that are in a folder, and of those that come."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.xls[xm]").load(folder)
-    return parse_workbooks(files, sheet)
+    return parse_workbooks(files, sheet, every)

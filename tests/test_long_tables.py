@@ -80,3 +80,8 @@ def test_ods_sheets(spark, tmp_path):
     assert {c.sheet for c in spark.read.format("ods").load(f"{tmp_path}/book.ods").collect()} == {"Sheet1"}
     with pytest.raises(PySparkException):
         df.selectExpr("row_number + 1048575 row_number", "id").write.format("ods").mode("append").save(f"{tmp_path}/long.ods")
+
+
+def test_stream_workbooks(spark, parts, monkeypatch):
+    short_sheets(monkeypatch)
+    assert sorted(map(tuple, registry.QUERIES["stream_workbooks"](spark, parts[0]).collect())) == parts[1]
