@@ -75,8 +75,8 @@ def workbook_roundtrip(spark, sf_dir):
     xlsx.register(spark)
     workbook.register(spark)
     path = _place(spark, "parts.bin")
-    _parts(spark, sf_dir).write.format("xlsx").mode("append").save(path)
-    return _part_rows(spark.read.format("workbook").load(path))
+    _parts(spark, sf_dir).write.format("xlsx").option("sheetRows", MAX_ROWS).mode("append").save(path)
+    return _part_rows(spark.read.format("workbook").option("sheets", "all").load(path))
 
 
 @query("""SELECT c_custkey, c_name, c_acctbal, c_acctbal > 0 AS plus FROM customer""")

@@ -85,3 +85,8 @@ def test_ods_sheets(spark, tmp_path):
 def test_stream_workbooks(spark, parts, monkeypatch):
     short_sheets(monkeypatch)
     assert sorted(map(tuple, registry.QUERIES["stream_workbooks"](spark, parts[0]).collect())) == parts[1]
+
+
+def test_workbook_roundtrip(spark, parts, monkeypatch):
+    short_sheets(monkeypatch)
+    assert sorted(map(tuple, registry.QUERIES["workbook_roundtrip"](spark, parts[0]).collect())) == parts[1]
