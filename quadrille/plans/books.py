@@ -57,8 +57,8 @@ def _part_rows(cells: DataFrame) -> DataFrame:
 def xlsx_roundtrip(spark, sf_dir):
     xlsx.register(spark)
     path = _place(spark, "parts.xlsx")
-    _parts(spark, sf_dir).write.format("xlsx").option("sheetName", "Parts").option("widths", "[10, 40]").option("freeze", "B2").option("title", "Parts").mode("append").save(path)
-    return _part_rows(spark.read.format("xlsx").load(path))
+    _parts(spark, sf_dir).write.format("xlsx").option("sheetName", "Parts").option("widths", "[10, 40]").option("freeze", "B2").option("title", "Parts").option("sheetRows", MAX_ROWS).mode("append").save(path)
+    return _part_rows(spark.read.format("xlsx").option("sheets", "all").load(path))
 
 
 @query(_PART_SQL)

@@ -90,3 +90,35 @@ def test_stream_workbooks(spark, parts, monkeypatch):
 def test_workbook_roundtrip(spark, parts, monkeypatch):
     short_sheets(monkeypatch)
     assert sorted(map(tuple, registry.QUERIES["workbook_roundtrip"](spark, parts[0]).collect())) == parts[1]
+
+
+def test_xlsx_roundtrip(spark, parts, monkeypatch):
+    short_sheets(monkeypatch)
+    assert sorted(map(tuple, registry.QUERIES["xlsx_roundtrip"](spark, parts[0]).collect())) == parts[1]
+
+
+def test_xlsx_sheets(spark, tmp_path):
+    """Further sheets have widths and formats; merges, links and the filter are the first one's."""
+    import zipfile
+
+    from pyspark.errors import PySparkException
+
+    from quadrille.sources import workbook, xlsx
+
+    xlsx.register(spark)
+    workbook.register(spark)
+    name = "A sheet's name of 31 characters"
+    df = spark.range(1, 8, numPartitions=2).selectExpr("cast(id as int) row_number", "id")
+    w = df.write.format("xlsx").option("sheetName", name).option("sheetRows", 4).option("widths", "[9]").option("merges", '["A1:B1"]').option("links", '{"A2": "https://example.org/"}')
+    w.mode("append").save(f"{tmp_path}/book.xlsx")
+    assert zipfile.ZipFile(f"{tmp_path}/book.xlsx").testzip() is None
+    sheets = [name, "A sheet's name of 31 charac (2)", "A sheet's name of 31 charac (3)"]
+    cells = spark.read.format("xlsx").option("sheets", "all").load(f"{tmp_path}/book.xlsx").filter("row > 1").collect()
+    assert sorted((c.num, c.sheet, c.row) for c in cells) == [(k, sheets[(k - 1) // 3], (k - 1) % 3 + 2) for k in range(1, 8)]
+    part = lambda p: [r[1] for r in spark.read.format("workbook").option("part", p).load(f"{tmp_path}/book.xlsx").collect()]
+    assert sorted(part("widths")) == sorted(sheets) and part("merges") == part("links") == [name]
+    for bad in ({"sheetRows": 1}, {"sheetRows": 4, "sheetName": "A sheet's name of 31 charac (2)"}):
+        with pytest.raises(PySparkException):
+            df.write.format("xlsx").options(**bad).mode("append").save(f"{tmp_path}/bad.xlsx")
+    with pytest.raises(PySparkException):
+        df.selectExpr("row_number + 1048575 row_number", "id").write.format("xlsx").mode("append").save(f"{tmp_path}/bad.xlsx")
