@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Words whose tokens a worker remembers.
 CACHE_WORDS = 100_000
+#: Longer tokens are looked for only in the lengths that tokens of the same first symbols have.
+HEAD = 4
 
 
 class Automaton:
@@ -39,11 +42,19 @@ class Automaton:
         self.step: dict[int, int] = {}
         self.parent, self.taken, self.at = [-1], [-1], [-1]
         self.state_of: dict[int, int] = {}
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self._arcs: dict[int, bool] = {}
         for k, (a, b) in enumerate(merges):
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
         self._arcs.clear()
-        self.longest = max((len(t) for t in vocab), default=1)
+        # tokens that end a word, and others; of these, the lengths that there are with the same HEAD symbols, long ones first
+        self.last = {t[:-4]: i for t, i in vocab.items() if t.endswith("</w>")}
+        self.inner = {t: i for t, i in vocab.items() if not t.endswith("</w>")}
+        self.longest = max(map(len, self.last), default=1)
+        self.short, lengths = tuple(range(HEAD - 1, 0, -1)), {}
+        for t in self.inner:
+            if len(t) >= HEAD:
+                lengths.setdefault(t[:HEAD], set()).add(len(t))
+        self.lengths: dict[str, tuple[int, ...]] = {h: (*sorted(x, reverse=True), *self.short) for h, x in lengths.items()}
 
     def _gadget(self, k: int, u: int, v: int, t: int) -> None:
         if t in self.step:
@@ -72,7 +83,7 @@ class Automaton:
 
     def arc(self, state: int, t: int) -> bool:
         """Whether the state has the arc t."""
-        key = (state, t)
+        key = state << 20 | t
         if (known := self._arcs.get(key)) is not None:
             return known
         table, limit = self.base[state]
@@ -92,32 +103,35 @@ class Automaton:
 
     def encode_word(self, word: str) -> list[int]:
         """word: its symbols, without the word end."""
-        vocab, n, state_of = self.vocab, len(word), self.state_of
-        path: list[tuple[int, int, int]] = [(0, 0, -1)]  # position, state, token
+        n, state_of, arcs, arc, last, inner, lengths = len(word), self.state_of, self._arcs, self.arc, self.last, self.inner, self.lengths
+        tokens: list[int] = []
+        places: list[tuple] = []  # position, state, sizes still to try
         dead: set[tuple[int, int]] = set()
-        ends = [min(n, self.longest)]
-        while path:
-            at, state, _ = path[-1]
-            if at == n:
-                return [t for _, _, t in path[1:]]
-            size = ends[-1]
-            while size > 0:
-                piece = word[at : at + size]
-                t = vocab.get(piece + "</w>" if at + size == n else piece)
-                if t is not None:
-                    to = state_of.get(t, 0)
-                    if (at + size, to) not in dead and self.arc(state, t):
-                        break
-                size -= 1
-            if size:
-                ends[-1] = size - 1
-                path.append((at + size, to, t))
-                ends.append(min(n - at - size, self.longest))
+        at, state, sizes = 0, 0, None
+        while n:
+            if sizes is None:
+                if n - at <= self.longest and (t := last.get(word[at:])) is not None and arc(state, t):
+                    tokens.append(t)
+                    break
+                sizes = iter(lengths.get(word[at : at + HEAD], self.short))
+            for size in sizes:
+                end = at + size
+                if end < n and (t := inner.get(word[at:end])) is not None:
+                    known = arcs.get(state << 20 | t)
+                    if known or (known is None and arc(state, t)):
+                        to = state_of.get(t, 0)
+                        if not dead or (end, to) not in dead:
+                            tokens.append(t)
+                            places.append((at, state, sizes))
+                            at, state, sizes = end, to, None
+                            break
             else:
+                if not places:
+                    raise ValueError(f"no tokens for {word!r}")
                 dead.add((at, state))
-                path.pop()
-                ends.pop()
-        raise ValueError(f"no tokens for {word!r}")
+                at, state, sizes = places.pop()
+                tokens.pop()
+        return tokens
 
 
 def byte_symbols() -> dict[int, str]:
@@ -127,6 +141,27 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Words(dict):
+    """The tokens of words, as bytes; \\0 marks words that are in symbols already. Words not used for long are
+    forgotten: of two halves the older one goes, but for what was used since."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.automaton, self.older, self.symbols = automaton, {}, byte_symbols()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            symbols = word[1:] if word[0] == "\0" else word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            tokens = self.automaton.encode_word(symbols)
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
+        if len(self) >= CACHE_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿ]*\Z")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+")
 
@@ -143,9 +178,8 @@ class Encoder:
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             self.labels[i] = t
         self._marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self._symbols = {b: s for b, s in byte_symbols().items()}
         self._path, self._library = path, None
-        self._known: dict[str, bytes] = {}
+        self._known = _Words(self.automaton)
 
     def _split(self, text: str) -> list[str]:
         """The words of a text, in byte symbols for texts beyond Latin-1."""
@@ -158,16 +192,8 @@ class Encoder:
 
     def _part(self, text: str, out: list[bytes]) -> None:
         plain = _PLAIN.match(text) is not None
-        known = self._known
-        for w in _WORD.findall(text.lower()) if plain else self._split(text):
-            key = w if plain else "\0" + w
-            ids = known.get(key)
-            if ids is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                symbols = w.encode().decode("latin-1").translate(self._symbols) if plain else w
-                ids = known[key] = np.array(self.automaton.encode_word(symbols), dtype="<u4").tobytes()
-            out.append(ids)
+        words = _WORD.findall(text.lower()) if plain else ["\0" + w for w in self._split(text)]
+        out.extend(map(self._known.__getitem__, words))
 
     def encode(self, text: str) -> np.ndarray:
         out: list[bytes] = []

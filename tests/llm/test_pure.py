@@ -221,3 +221,24 @@ def test_every_cut_is_found():
     frames = np.repeat(still, 576).reshape(-1, 24, 24)
     assert [a for a, _ in shots(frames)[0]] == list(range(0, 90, 6))
     assert [a for a, _ in shots(frames[4:8])[0]] == [0, 2] and shots(frames[:6])[0] == [(0, 6)]
+
+
+def test_bpe_words_in_use_stay_known(monkeypatch):
+    """Words that come again and again are encoded once, however many others come between; all as the library does."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quadrille.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, library, r, seen = bpe.Encoder(path), Tokenizer.from_file(path), random.Random(3), []
+    encode = e.automaton.encode_word
+    monkeypatch.setattr(e.automaton, "encode_word", lambda w: seen.append(w) or encode(w))
+    words = ["".join(r.choice(["th", "e", "an", "ing", "st", "q", "é", "!"]) for _ in range(r.randint(1, 12))) for _ in range(300)] + ["!" * 5000, "a" * 3000, "日本語", "x</w>y"]
+    for w in words:
+        text = f"often {w}"
+        assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen.count("often") == 2  # once in plain text, once beside a word that is split by the library
