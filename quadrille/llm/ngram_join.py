@@ -13,7 +13,9 @@ shared prefix shingles a similar pair has at least; so unlike sets of one freque
 Equal sets are one node (the smallest doc_id). Large groups of near copies are not expanded into pairs. First each node
 is verified against one pivot of a shared shingle, the middle of its family; what links is one component. Then only
 pairs between components matter. Shingles of few nodes, and of few nodes of similar size, give such pairs directly. The
-other nodes of a shingle that many share are compared by what tells them from its pivot p: with D = x xor p, two sets are similar if and only if D and D' share at
+other nodes of a shingle that many share are one group with its pivot p. A group of up to MOST_MEMBERS texts is one task's
+work, which counts the common shingles of all its members and gives only the links that tell its components. The members
+of a larger group are compared by what tells them from p: with D = x xor p, two sets are similar if and only if D and D' share at
 least t = (7(|D| + |D'|) - |x| - |y|) / 14 shingles. If x does not link with p, t is positive for every y, so the
 differences are joined on their prefixes in turn, by bands of 7|D| - |x|; the random edits of a family's members
 are in no other difference, and no pair comes of them. So no link between components is lost. Components are found by large-star and
@@ -45,6 +47,8 @@ BROADCAST_NODES = 500_000
 MOST_MATCHES = 4
 #: Nodes of a shingle that are paired directly; so each posting meets 15 others at most.
 FEW = 16
+#: A group of up to so many texts and shingles is linked in one task; keys of differences would be hundreds a member.
+MOST_MEMBERS, MOST_SHINGLES = 1024, 500_000
 #: A shingle with more postings than this is dealt to many tasks.
 HOT_POSTINGS = 50_000
 DIFFERENCES = "a long, b long, key long, bands long, n int, d int, pos int"
@@ -126,12 +130,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _beside(docs: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, list[DataFrame]]:
     """The texts of pairs (a, b), by a: first those of a itself, then those of b; and the tables to release. A pivot a
-    with many partners is dealt to 16 salts."""
+    with many partners is dealt to 16 salts, but not where the pairs' column whole is true (salt -1)."""
     need = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-need")
     small = need.count() <= BROADCAST_NODES
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(need) if small else need, "id", "left_semi")
     texts = materialise(texts, f"{name}-texts")
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).cast("int").alias("salt"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(16)).cast("int")
+    salted = pairs.select("a", "b", (F.when(F.col("whole"), -1).otherwise(salt) if "whole" in pairs.columns else salt).alias("salt"))
     members = salted.join(texts, salted["b"] == texts["id"]).select("a", "salt", F.lit(1).alias("member"), "b", "text")
     heads = salted.select("a", "salt").distinct()
     pivots = heads.join(texts, heads["a"] == texts["id"]).select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
@@ -162,15 +167,53 @@ def difference_rows(x: np.ndarray, p: np.ndarray, sketch: np.ndarray) -> Iterato
             yield (min(own, band) + 4096) * 65536 + max(own, band) + 4096, whole[: d - t + 1], d
 
 
+def links_within(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between the sets of one group, fewer than it has members: a tree of each component."""
+    count = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(count), sizes)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    held = np.flatnonzero(often[token])
+    owner, token = owner[held], (np.cumsum(often) - 1)[token[held]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((count, count), dtype=np.float32)
+    for at in range(0, int(often.sum()), 2048):
+        low, high = np.searchsorted(token, (at, at + 2048))
+        block = np.zeros((count, 2048), dtype=np.float32)
+        block[owner[low:high], token[low:high] - at] = 1
+        both += block @ block.T
+    both = both.astype(np.int64)
+    linked = (100 * both >= 75 * (sizes[:, None] + sizes - both)) & (both > 0)
+    out, unseen = [], np.ones(count, dtype=bool)
+    for root in range(count):
+        reached = [root] if unseen[root] else []
+        unseen[root] = False
+        while reached:
+            i = reached.pop()
+            found = np.flatnonzero(linked[i] & unseen).tolist()
+            unseen[found] = False
+            reached += found
+            out += [(ids[i], ids[j]) for j in found]
+    return out
+
+
 def _differences(shared) -> Callable:
+    """Links (key null) of the pivots with their members and of whole groups; keys of the members of the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, sets = None, []
+        pivot, sets, group = None, [], []
         for batch in batches:
             made: list[tuple] = []
             for a, salt, member, b, text in zip(*(batch.column(k).to_pylist() for k in ("a", "salt", "member", "b", "text"))):
                 if pivot != (a, salt):
-                    pivot, sets = (a, salt), []
+                    made += _of_group(group)
+                    pivot, sets, group = (a, salt), [], []
                 s = shingles(text)
+                if salt < 0:
+                    group.append((b, s))
+                    continue
                 if not member:
                     sets.append(s)
                     continue
@@ -185,10 +228,15 @@ def _differences(shared) -> Callable:
                     yield _posted(made)
                     made = []
             yield _posted(made)
+        yield _posted(_of_group(group))
 
     return run
 
 
+def _of_group(group: list[tuple[int, np.ndarray]]) -> list[tuple]:
+    return [(a, b, None, None, 0, 0, 0) for a, b in links_within(*map(list, zip(*group)))] if group else []
+
+
 def _posted(rows: list[tuple]) -> pa.RecordBatch:
     fields = [x.split() for x in DIFFERENCES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == "long" else pa.int32()) for c, (_, k) in zip(list(zip(*rows)) or [()] * 7, fields)], names=[f for f, _ in fields])
@@ -300,7 +348,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     pairs = _enough(met, "a.", "b.", unordered=True).select("a", "b")
     tops = many.groupBy("token", "band").agg(F.max_by("node", F.struct("hub", -F.col("node"))).alias("a"))
     groups = materialise(many.join(tops, ["token", "band"]).select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "groups")
-    rows, used = _beside(docs, groups, "groups")
+    # of the rows of documents, as several may share a doc_id
+    texts = groups.union(groups.select("a", "a").distinct()).join(known.withColumnRenamed("doc_id", "b"), "b").groupBy("a").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+    whole = texts.select("a", ((F.col("texts") <= MOST_MEMBERS) & (F.col("n") <= MOST_SHINGLES)).alias("whole"))
+    rows, used = _beside(docs, groups.join(whole, "a"), "groups")
     rows = materialise(rows.mapInArrow(_differences(shared), DIFFERENCES), "differences")
     links = links.union(rows.filter("key is null").select("a", "b").distinct())
     keyed = _labelled(rows.filter("key is not null"), comp, "b")

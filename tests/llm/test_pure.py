@@ -155,6 +155,32 @@ def test_differences_lose_no_pair():
     assert met > 100
 
 
+def test_links_within_a_group():
+    """As many components as all pairs give, by real links, also with sets of one id, copies and empty sets."""
+    import numpy as np
+
+    from quadrille.llm.ngram_join import _linked, links_within
+
+    r = np.random.default_rng(8)
+    for count in (1, 2, 30, 90):
+        base = np.unique(r.integers(0, 1 << 63, 3000).astype(np.uint64))
+        sets = [base[r.random(len(base)) > r.random() * 0.3][: r.integers(0, 3000)] for _ in range(count)]
+        sets += [sets[0], base[:0]]
+        ids = [k - (k == 7) for k in range(len(sets))]
+        links = links_within(ids, sets)
+        assert len(links) < len(sets)
+
+        def parts(edges):
+            group = {i: i for i in ids}
+            while any(group[i] != group[j] for i, j in edges):
+                for i, j in edges:
+                    group[i] = group[j] = min(group[i], group[j])
+            return group
+
+        real = {(ids[i], ids[j]) for i in range(len(sets)) for j in range(len(sets)) if i != j and _linked(sets[i], sets[j])}
+        assert set(links) <= real and parts(links) == parts(real)
+
+
 def test_turns_of_marks_and_backslashes():
     from quadrille.llm.chat import format_turn, parse_turns
 

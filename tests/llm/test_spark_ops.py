@@ -158,6 +158,39 @@ def test_ngram_join_of_hot_shingles(spark, monkeypatch, few):
     assert [out[k] for k in range(len(texts))] == groups_of_all_pairs(texts)
 
 
+def test_ngram_join_of_groups(spark, monkeypatch):
+    """The members of a large family give few rows each, and the same groups as by keys of differences."""
+    import random
+
+    from quadrille.llm import ngram_join
+
+    r = random.Random(5)
+    texts, base = [], [f"b{k}" for k in range(80)]
+    for k in range(160):
+        w = list(base)
+        for _ in range(r.choice((0, 2, 4, 6, 8, 9))):
+            w[r.randrange(80)] = f"n{r.random()}"
+        texts.append(" ".join(w[r.randint(0, 6) : r.randint(70, 80)]))
+    docs, made, write = docs_of(spark, [(k, t, "a") for k, t in enumerate(texts)]), {}, ngram_join.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("groups", "differences", "keyed"):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    expected = groups_of_all_pairs(texts)
+    out = {x.doc_id: x.component_id for x in ngram_join.near_groups(docs).collect()}
+    assert [out[k] for k in range(len(texts))] == expected
+    assert made["groups"] >= 100 and made["differences"] <= 2 * made["groups"] and made["keyed"] == 0
+    for most in (0, 40):  # larger groups by keys, or some so and some whole
+        monkeypatch.setattr(ngram_join, "MOST_MEMBERS", most)
+        out = {x.doc_id: x.component_id for x in ngram_join.near_groups(docs).collect()}
+        assert [out[k] for k in range(len(texts))] == expected
+    assert made["keyed"] > 0
+
+
 def test_decontamination(spark, hard):
     from quadrille.llm.decontaminate import find_leaks
 
